@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import ngram_join, quality, substring_dedup
 from .shared import read_table
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op9_ngram_jaccard_join": ngram_join.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
 }
