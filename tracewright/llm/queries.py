@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality, substring_dedup
+from . import decontam, ngram_join, pii, quality, secrets, substring_dedup
 from .shared import read_table
 
 
+def op1_pii_surrogates(spark, sf_dir):
+    return pii.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_benchmark_decontamination(spark, sf_dir):
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_secret_scan(spark, sf_dir):
+    return secrets.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.digest(read_table(spark, sf_dir, "documents"))
 
@@ -19,6 +31,9 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_secret_scan": op8_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
