@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, ngram_join, pii, quality, secrets, substring_dedup
+from . import decontam, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity
 from .shared import read_table
 
 
@@ -14,6 +14,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_toxic_segments(spark, sf_dir):
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.digest(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op5_toxic_segments": op5_toxic_segments,
     "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_secret_scan": op8_secret_scan,
