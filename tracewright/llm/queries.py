@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity
+from . import decontam, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity, warc
 from .shared import read_table
 
 
@@ -14,6 +14,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_warc_splittable_reader(spark, sf_dir):
+    return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
+
+
 def op5_toxic_segments(spark, sf_dir):
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op4_warc_splittable_reader": op4_warc_splittable_reader,
     "op5_toxic_segments": op5_toxic_segments,
     "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
@@ -50,6 +55,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_warc_splittable_reader": warc.SQL,
     "op6_source_mixing": mixing.SQL,
     "op9_ngram_jaccard_join": ngram_join.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
