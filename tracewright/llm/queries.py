@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity, warc
+from . import decontam, html_wrappers, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity, warc
 from .shared import read_table
 
 
@@ -10,6 +10,10 @@ def op1_pii_surrogates(spark, sf_dir):
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_html_wrapper_induction(spark, sf_dir):
+    return html_wrappers.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -44,12 +48,13 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_html_wrapper_induction": op2_html_wrapper_induction,
+    "op3_quality_rules": op3_quality_rules,
     "op4_warc_splittable_reader": op4_warc_splittable_reader,
     "op5_toxic_segments": op5_toxic_segments,
     "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_secret_scan": op8_secret_scan,
-    "op3_quality_rules": op3_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
