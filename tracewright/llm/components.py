@@ -16,13 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     shared folder. A round shuffles the links once; nothing is collected.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = written(both, "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    both = written(both, "links", narrow=True)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels", narrow=True)
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("component").alias("higher"))
-        step = written(step.join(up, "label").select("node", "old", F.least("label", "higher").alias("component")), "labels")
+        step = written(step.join(up, "label").select("node", "old", F.least("label", "higher").alias("component")), "labels", narrow=True)
         labels = step.select("node", "component")
         if step.where("old <> component").isEmpty():
             return labels

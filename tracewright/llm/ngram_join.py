@@ -7,14 +7,14 @@
 2. Survive. A document that shares fewer n-grams than the threshold needs of its
    own set has no partner. Documents with equal sets become one class.
 3. Candidates. Two linked sets share an n-gram among the first
-   ``n - ceil(t * n) + 1`` of both in the global order (prefix filter), and
-   their sizes are within the threshold. Groups that share a prefix n-gram give
-   all pairs if they are small. Large groups give pairs with a few pivots a
-   round; what the links found so far already join is not compared again, and
-   rounds go on until every pair across components has been compared, so no
-   link between components is lost.
+   ``n - ceil(t * n) + 1`` of both in the global order (prefix filter), their
+   sizes are within the threshold, and enough n-grams follow the first they
+   share. Groups that share a prefix n-gram give their pairs if they are small.
+   The members of large groups are dealt to blocks, and pairs of blocks are
+   compared; each gives a spanning forest of its links, so no link between
+   components is lost and no group gives all its pairs.
 4. Vertical partitioning. The global order is cut into fragments; the overlap of
-   a candidate pair is counted fragment by fragment, and summed per pair.
+   a pair is counted fragment by fragment, and summed per pair.
 5. Components of the links, by the smallest doc_id.
 
 Scale. Postings are about six bytes; only n-grams that occur twice come back.
@@ -30,6 +30,7 @@ doc_id the one with the largest set decides; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +38,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import packing as pk
 from .components import components
-from .shared import n_partitions, written
+from .shared import let, n_partitions, written
 from .words import U64, chunks, mix
 
 N_WORDS, PERCENT = 5, 80
-SMALL_GROUP = 32
+#: Groups of up to so many give their pairs; larger ones are compared in blocks of about BLOCK documents.
+SMALL_GROUP = 8
+BLOCK = 256
+FAMILY = 4096
+FRAGMENT_COLUMNS = 4096
 _META, _GRAMS = 0, 1
 _BITS = 48
 _SHIP = "bucket long, chunk long, kind int, data binary"
@@ -168,12 +172,17 @@ def document_sets(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCEN
     return written(sets.groupBy("doc_id").agg(best).select("doc_id", "x.*"), "sets")
 
 
-def _fragment() -> Column:
-    """The fragment of an n-gram: the cuts ascend in (count, hash), the global order."""
-    c, g = F.col("c"), F.col("g")
-    return (
-        F.when(c == 2, F.shiftright(g, _BITS - 2)).when(c == 3, F.lit(4)).when(c < 8, F.lit(5)).when(c < 32, F.lit(6)).otherwise(F.lit(7)).cast("int")
-    )
+def _fragment(c: Column, g: Column) -> Column:
+    """The fragment of an n-gram g of count c: the cuts ascend in (count, hash), the global order."""
+    return F.when(c == 2, F.shiftright(g, _BITS - 2)).when(c == 3, F.lit(4)).when(c < 8, F.lit(5)).when(c < 32, F.lit(6)).otherwise(F.lit(7)).cast("int")
+
+
+def _segments(sets: DataFrame) -> DataFrame:
+    """(doc_id, fragment, grams): each set cut into its fragments, within its row."""
+    pairs = F.arrays_zip(F.col("grams").alias("g"), F.col("counts").alias("c"))
+    part = lambda x, f: F.transform(F.filter(x, lambda y: _fragment(y["c"], y["g"]) == f), lambda y: y["g"])
+    cut = let(pairs, lambda x: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda f: F.struct(f.alias("fragment"), part(x, f).alias("grams"))))
+    return sets.select("doc_id", F.explode(cut).alias("s")).select("doc_id", "s.*").where(F.size("grams") > 0)
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -185,66 +194,127 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _pair(p: str, q: str) -> Column:
-    """A candidate pair of posting aliases, the smaller id first."""
-    return F.when(F.col(f"{p}.doc_id") < F.col(f"{q}.doc_id"), F.struct(F.col(f"{p}.doc_id").alias("a"), F.col(f"{q}.doc_id").alias("b"), F.col(f"{p}.n").alias("na"), F.col(f"{q}.n").alias("nb"))).otherwise(
-        F.struct(F.col(f"{q}.doc_id").alias("a"), F.col(f"{p}.doc_id").alias("b"), F.col(f"{q}.n").alias("na"), F.col(f"{p}.n").alias("nb"))
-    )
-
-
-def _similar_size(percent: int) -> Column:
-    return 100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")
+def _may_link(percent: int) -> Column:
+    """Sizes and places of the n-gram that p and q share: what follows it must suffice, if it is the first they share."""
+    after = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
+    return (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")) & ((100 + percent) * after >= percent * (F.col("p.n") + F.col("q.n")))
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives that join all linked classes, and the classes (doc_id, rep)."""
     survivors = sets.where("grams is not null and n > 0")
     rep = survivors.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    classes = written(survivors.select("doc_id", "sig").join(rep, "sig").select("doc_id", "rep"), "classes")
+    classes = written(survivors.select("doc_id", "sig").join(rep, "sig").select("doc_id", "rep"), "classes", narrow=True)
     reps = survivors.join(classes.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     reps = written(reps.select("doc_id", "n", "n_shared", "grams", "counts"), "reps")
 
     need = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (n - n_shared)")
-    postings = reps.withColumn("k", need).where("k > 0").select("doc_id", "n", F.explode(F.expr("slice(grams, 1, int(k))")).alias("gram"))
+    prefix = reps.withColumn("k", need).where("k > 0")
+    # place: how many n-grams of the document stand before this one in the global order
+    postings = prefix.select("doc_id", "n", (F.col("n") - F.col("n_shared")).alias("alone"), F.posexplode(F.expr("slice(grams, 1, int(k))")).alias("at", "gram"))
+    postings = postings.select("gram", "doc_id", "n", (F.col("alone") + F.col("at")).alias("place"))
     group = postings.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1")
-    postings = written(postings.join(group, "gram"), "postings")
-    pairs_of = reps.select("doc_id", F.explode(F.arrays_zip(F.col("grams").alias("g"), F.col("counts").alias("c"))).alias("x")).select("doc_id", "x.*")
-    segments = written(pairs_of.groupBy("doc_id", _fragment().alias("fragment")).agg(F.collect_list("g").alias("grams")), "segments")
+    postings = written(postings.join(group, "gram"), "postings", narrow=True)
 
     small = postings.where(F.col("size") <= SMALL_GROUP)
     p, q = small.alias("p"), small.alias("q")
-    first = p.join(q, (F.col("p.gram") == F.col("q.gram")) & (F.col("p.doc_id") < F.col("q.doc_id")) & _similar_size(percent))
-    large = postings.where(F.col("size") > SMALL_GROUP).select("gram", "doc_id", "n")
-    tried = written(first.select(_pair("p", "q").alias("x")).select("x.*").distinct(), "pairs")
-    found = written(_overlaps(tried, segments, percent), "found")
-    pivots, done = 1, [found]
-    while not large.isEmpty():
-        label = components(_all(done))
-        members = large.join(label, F.col("doc_id") == F.col("node"), "left").select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        members = written(members, "members")
-        most = members.groupBy("gram", "component").count().groupBy("gram")
-        most = most.agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-        open_ = members.join(most, "gram")
-        rank = F.row_number().over(W.partitionBy("gram").orderBy("n", "doc_id"))
-        chosen = written(open_.where("component <> most").withColumn("r", rank).where(F.col("r") <= pivots).drop("r", "most"), "pivots")
-        if chosen.isEmpty():
-            break
-        p, q = chosen.alias("p"), members.alias("q")
-        pairs = p.join(q, (F.col("p.gram") == F.col("q.gram")) & (F.col("p.component") != F.col("q.component")) & _similar_size(percent))
-        pairs = pairs.select(_pair("p", "q").alias("x")).select("x.*").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs.select("a", "b", "na", "nb"), "pairs")
-        done.append(written(_overlaps(pairs, segments, percent), "found"))
-        tried = tried.union(pairs)
-        large = written(open_.select("gram", "doc_id", "n").join(chosen.select("gram", "doc_id"), ["gram", "doc_id"], "left_anti"), "large")
-        pivots *= 2
-    return _all(done), classes
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    pairs = p.join(q, (F.col("p.gram") == F.col("q.gram")) & (F.col("p.doc_id") < F.col("q.doc_id")) & _may_link(percent))
+    pairs = pairs.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
+    pairs = written(pairs, "pairs", narrow=True)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    segments = _segments(reps.join(wanted, "doc_id", "left_semi"))
+    found = _overlaps(pairs, segments, percent)
+
+    large = postings.where(F.col("size") > SMALL_GROUP)
+    if not large.isEmpty():
+        found = found.union(_compared_in_blocks(large, reps, percent))
+    return written(found.distinct(), "found", narrow=True), classes
+
+
+def _compared_in_blocks(large: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links inside large groups: members are dealt to blocks, and pairs of blocks are compared.
+
+    Groups that overlap are first joined to one family, so that documents with many
+    n-grams in common are compared once; a family of more than FAMILY documents
+    is taken group by group instead. A block has documents of one size class, at
+    most about BLOCK of them; only equal or neighbouring classes can hold a link.
+    Of each pair of blocks comes a forest: no more links than documents, which
+    join all that are linked.
+    """
+    first = large.groupBy("gram").agg(F.min("doc_id").alias("first"))
+    star = large.join(first, "gram").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    family = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    big = family.groupBy("family").agg(F.count("*").alias("members"))
+    family = written(family.join(big, "family"), "families", narrow=True)
+    whole = large.select("doc_id", "n").distinct().join(family.where(F.col("members") <= FAMILY), "doc_id")
+    whole = whole.select(F.lit(0).alias("kind"), F.col("family").alias("key"), "doc_id", "n", F.col("members").alias("size"))
+    split = large.join(family.where(F.col("members") > FAMILY).select("doc_id"), "doc_id", "left_semi")
+    split = split.select(F.lit(1).alias("kind"), F.col("gram").alias("key"), "doc_id", "n", "size")
+    step = math.log(100 / percent) if percent < 100 else 1e-3
+    size_class = F.when(F.col("size") <= BLOCK, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / step)).cast("long")
+    member = written(whole.unionByName(split).withColumn("class", size_class), "members", narrow=True)
+    width = member.groupBy("kind", "key", "class").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("k"))
+    at = ["kind", "key", "class"]
+    near = lambda name, d: width.select("kind", "key", (F.col("class") + d).alias("class"), F.col("k").alias(name))
+    member = member.join(near("k", 0), at).join(near("above", -1), at, "left").join(near("below", 1), at, "left")
+    member = member.withColumn("own", F.pmod(F.xxhash64("doc_id"), "k"))
+    # blocks are compared as (class, i) with (class, j >= i), and with (class + 1, j)
+    box = lambda c, i, d, j, side: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"), F.lit(side).alias("side"))
+    c, own = F.col("class"), F.col("own")
+    until = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    inside = F.transform(until(F.col("k")), lambda j: F.when(j >= own, box(c, own, c, j, 0)).otherwise(box(c, j, c, own, 1)))
+    up = F.transform(until(F.col("above")), lambda j: box(c, own, c + 1, j, 0))
+    down = F.transform(until(F.col("below")), lambda j: box(c - 1, j, c, own, 1))
+    dealt = member.select("kind", "key", "doc_id", "n", F.explode(F.concat(inside, up, down)).alias("box")).select("kind", "key", "doc_id", "n", "box.*")
+    pair = ["kind", "key", "c", "i", "d", "j"]
+    rows = dealt.join(reps.select("doc_id", "grams"), "doc_id").select(*pair, "side", "doc_id", "n", "grams")
+    return rows.groupBy(*pair).applyInPandas(_forest(percent), "a long, b long")
+
+
+def _forest(percent: int):
+    """One pair of blocks: overlaps fragment by fragment, summed, then a spanning forest of the links."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "doc_id"], kind="stable")
+        n, ids = pdf["n"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64)
+        side = pdf["side"].to_numpy()
+        rows = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["grams"]])
+        grams = np.concatenate(pdf["grams"].to_numpy())
+        own = pdf["c"].iloc[0] == pdf["d"].iloc[0] and pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        left, right = (np.arange(len(pdf)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        names, column, count = np.unique(grams, return_inverse=True, return_counts=True)
+        often = count[column] > 1
+        rows, column = rows[often], np.unique(column[often], return_inverse=True)[1]
+        both = np.zeros((len(left), len(right)), dtype=np.int64)
+        by_column = np.argsort(column, kind="stable")
+        rows, column = rows[by_column], column[by_column]
+        width = int(column[-1]) + 1 if len(column) else 0
+        for first in range(0, width, FRAGMENT_COLUMNS):
+            a, b = np.searchsorted(column, (first, first + FRAGMENT_COLUMNS))
+            cells = np.zeros((len(pdf), min(FRAGMENT_COLUMNS, width - first)), dtype=np.float32)
+            cells[rows[a:b], column[a:b] - first] = 1
+            both += np.rint(cells[left] @ cells[right].T).astype(np.int64)
+        total = n[left][:, None] + n[right][None, :]
+        linked = (100 * both >= percent * (total - both)) & (ids[left][:, None] != ids[right][None, :])
+        if own:
+            linked = np.triu(linked, 1)
+        root = list(range(len(pdf)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(linked), strict=True):
+            x, y = int(left[x]), int(right[y])
+            if (p := top(x)) != (q := top(y)):
+                root[q] = p
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
