@@ -6,23 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-GROUP = W.partitionBy("group_id")
-RESPONSE = W.partitionBy("response_id")
 
+def _group():
+    return W.partitionBy("group_id")
 
-def grpo(score: Column, over=GROUP, eps: float = 1e-8) -> Column:
+
+def _response():
+    return W.partitionBy("response_id")
+
+
+def grpo(score: Column, over=None, eps: float = 1e-8) -> Column:
     """z-score in the group, population deviation."""
+    over = over or _group()
     return (score - F.avg(score).over(over)) / (F.stddev_pop(score).over(over) + eps)
 
 
-def leave_one_out(score: Column, over=GROUP) -> Column:
+def leave_one_out(score: Column, over=None) -> Column:
     """score less the mean of the others of the group (0 if there are none)."""
+    over = over or _group()
     others = F.count(score).over(over) - 1
     return score - F.coalesce((F.sum(score).over(over) - score) / F.nullif(others, F.lit(0)), F.lit(0.0))
 
 
-def grpo_or_centred(score: Column, by_deviation: bool = True, over=GROUP, eps: float = 1e-8) -> Column:
+def grpo_or_centred(score: Column, by_deviation: bool = True, over=None, eps: float = 1e-8) -> Column:
     """z-score by the sample deviation where it exceeds eps, else only centred."""
+    over = over or _group()
     deviation = F.stddev_samp(score).over(over)
     centred = score - F.avg(score).over(over)
     return F.when(F.lit(by_deviation) & (F.coalesce(deviation, F.lit(0.0)) > eps), centred / (deviation + eps)).otherwise(centred)
@@ -31,15 +39,15 @@ def grpo_or_centred(score: Column, by_deviation: bool = True, over=GROUP, eps: f
 def local_advantages(phases: DataFrame, eps: float = 1e-8) -> DataFrame:
     """Phase reward against the other phases of its response."""
     r = F.col("phase_reward")
-    z = (r - F.avg(r).over(RESPONSE)) / (F.sqrt(F.var_pop(r).over(RESPONSE) + eps) + eps)
-    return phases.withColumn("local", F.when(F.count(r).over(RESPONSE) > 1, z).otherwise(0.0))
+    z = (r - F.avg(r).over(_response())) / (F.sqrt(F.var_pop(r).over(_response()) + eps) + eps)
+    return phases.withColumn("local", F.when(F.count(r).over(_response()) > 1, z).otherwise(0.0))
 
 
 def global_advantages(phases: DataFrame, eps: float = 1e-8) -> DataFrame:
     """The response's mean phase reward against its group; phases is read once, the group sees a row a response."""
     score = phases.groupBy("group_id", "response_id").agg(F.avg("phase_reward").alias("score"))
-    deviation = F.coalesce(F.stddev_samp("score").over(GROUP), F.lit(0.0))
-    z = (F.col("score") - F.avg("score").over(GROUP)) / (deviation + eps)
+    deviation = F.coalesce(F.stddev_samp("score").over(_group()), F.lit(0.0))
+    z = (F.col("score") - F.avg("score").over(_group())) / (deviation + eps)
     return phases.join(score.select("response_id", z.alias("global")), "response_id")
 
 
@@ -59,7 +67,7 @@ def decayed(advantage: Column, offset: Column, gamma: float = 0.9, divide_by: Co
 def to_tokens(phased: DataFrame, advantages: DataFrame, gamma: float = 0.9, divide: bool = True) -> DataFrame:
     """phased tokens with their advantage; 0 outside all phases."""
     offset = F.row_number().over(W.partitionBy("response_id", "phase_id").orderBy("pos")) - 1
-    joined = phased.withColumn("offset", offset).join(advantages.select("response_id", "phase_id", "advantage", F.count("*").over(RESPONSE).alias("n")), ["response_id", "phase_id"], "left")
+    joined = phased.withColumn("offset", offset).join(advantages.select("response_id", "phase_id", "advantage", F.count("*").over(_response()).alias("n")), ["response_id", "phase_id"], "left")
     value = decayed(F.col("advantage"), F.col("offset"), gamma, F.col("n") if divide else None)
     return joined.withColumn("token_advantage", F.coalesce(value, F.lit(0.0))).drop("offset", "advantage", "n")
 
@@ -67,16 +75,16 @@ def to_tokens(phased: DataFrame, advantages: DataFrame, gamma: float = 0.9, divi
 def hybrid(responses: DataFrame, threshold: float = 1.0, eps: float = 1e-10) -> DataFrame:
     """responses(group_id, response_id, outcome) with route ('outcome' if the group has a correct one, else 'phase')
     and the outcome advantage of the first kind."""
-    right = F.coalesce(F.bool_or(F.col("outcome") >= threshold).over(GROUP), F.lit(False))
-    deviation = F.coalesce(F.stddev_samp("outcome").over(GROUP), F.lit(0.0))
-    z = (F.col("outcome") - F.avg("outcome").over(GROUP)) / (deviation + eps)
+    right = F.coalesce(F.bool_or(F.col("outcome") >= threshold).over(_group()), F.lit(False))
+    deviation = F.coalesce(F.stddev_samp("outcome").over(_group()), F.lit(0.0))
+    z = (F.col("outcome") - F.avg("outcome").over(_group())) / (deviation + eps)
     return responses.withColumn("route", F.when(right, "outcome").otherwise("phase")).withColumn("outcome_advantage", F.when(right, z).otherwise(0.0))
 
 
 def token_weights(tokens: DataFrame, beta: float = 1.0, eps: float = 1e-8) -> DataFrame:
     """(-logprob)**beta as a share of its response."""
     w = F.pow(F.greatest(-F.col("logprob"), F.lit(0.0)), F.lit(beta)) if beta else F.lit(1.0)
-    return tokens.withColumn("weight", w / F.greatest(F.sum(w).over(RESPONSE), F.lit(eps)))
+    return tokens.withColumn("weight", w / F.greatest(F.sum(w).over(_response()), F.lit(eps)))
 
 
 def generalised(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 0.95) -> Column:

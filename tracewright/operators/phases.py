@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-RESPONSE = W.partitionBy("response_id").orderBy("pos")
-_CANDIDATES = "array<struct<score: double, pos: int>>"
+
+def _in_order():
+    return W.partitionBy("response_id").orderBy("pos")
 
 
 def spaced_top(candidates: Column, start: Column, min_gap: int, most: int) -> Column:
@@ -28,7 +29,7 @@ def spaced_top(candidates: Column, start: Column, min_gap: int, most: int) -> Co
 
 def sliding_means(tokens: DataFrame, signal: str, width: int) -> DataFrame:
     """tokens with mean: of the signal over the width tokens from here, null for incomplete windows."""
-    frame = RESPONSE.rowsBetween(0, width - 1)
+    frame = _in_order().rowsBetween(0, width - 1)
     return tokens.withColumn("mean", F.when(F.count(signal).over(frame) == width, F.avg(signal).over(frame)))
 
 
@@ -60,7 +61,7 @@ def peak_boundaries(tokens: DataFrame, signal: str = "nlp", percentile: float =
     """Interior local maxima above the percentile of the response, greedily by height."""
     x = F.col(signal)
     limit = F.percentile(signal, F.lit(percentile / 100)).over(W.partitionBy("response_id"))
-    scored = tokens.withColumns({"before": F.lag(signal).over(RESPONSE), "after": F.lead(signal).over(RESPONSE), "limit": limit})
+    scored = tokens.withColumns({"before": F.lag(signal).over(_in_order()), "after": F.lead(signal).over(_in_order()), "limit": limit})
     rows = _collected(scored, (x > F.col("limit")) & (x >= F.col("before")) & (x >= F.col("after")), signal)
     return rows.select("group_id", "response_id", "start", "end", spaced_top(F.col("candidates"), F.col("start"), min_gap, most).alias("boundaries"))
 
@@ -86,7 +87,7 @@ def _merged(spans: Column, min_length: int) -> Column:
 def sentences(tokens: DataFrame, is_delimiter: Column, min_length: int = 5) -> DataFrame:
     """(group_id, response_id, sentences): spans that end with a delimiter token, short ones merged."""
     marked = tokens.withColumn("delimiter", is_delimiter.cast("int"))
-    sentence = F.coalesce(F.sum("delimiter").over(RESPONSE.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sentence = F.coalesce(F.sum("delimiter").over(_in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     spans = marked.withColumn("sentence", sentence).groupBy("group_id", "response_id", "sentence")
     spans = spans.agg(F.min("pos").cast("int").alias("a"), (F.max("pos") + 1).cast("int").alias("b"))
     listed = spans.groupBy("group_id", "response_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
@@ -135,4 +136,4 @@ def assign(tokens: DataFrame, boundaries: DataFrame) -> DataFrame:
     """tokens with phase_id, -1 before the first boundary: a running count, no range join."""
     starts = boundaries.select("response_id", F.explode("boundaries").alias("pos"), F.lit(1).alias("opens"))
     marked = tokens.join(starts, ["response_id", "pos"], "left")
-    return marked.withColumn("phase_id", (F.count("opens").over(RESPONSE) - 1).cast("int")).drop("opens")
+    return marked.withColumn("phase_id", (F.count("opens").over(_in_order()) - 1).cast("int")).drop("opens")
