@@ -136,6 +136,10 @@ def owned_records(file, first: int, last: int) -> Iterator[dict]:
     data = file.read(last - first + 2)
     at = 0
     while (m := _MAGIC.search(data, at)) and m.start() < last - first:
+        if len(data) - m.start() < _STEP:
+            # a member's first bytes may need all of its code tables to decode
+            file.seek(first + len(data))
+            data += file.read(_STEP)
         z = zlib.decompressobj(31)
         parts, ok = [], True
         try:
