@@ -20,7 +20,7 @@ PROMPTS = T.StructType(
 def parsed(df: DataFrame, column: str, kind: T.DataType) -> Column:
     """The column as kind: JSON text is parsed, a plain text prompt becomes one user message, structs pass."""
     have = df.schema[column].dataType
-    if not isinstance(have, T.StringType):
+    if not isinstance(have, T.StringType) or isinstance(kind, T.StringType):
         return F.col(column)
     if kind == PROMPT:
         plain = F.array(F.struct(F.lit("user").alias("role"), F.col(column).alias("content")))
