@@ -231,3 +231,33 @@ def test_files(spark, tmp_path):
     assert [(r["response"], r["score"]) for r in readers.read_results(spark, f"{tmp_path}/r.json").collect()] == [("a", 1.0), ("b", 0.0)]
     writers.rewrite(spark, f"{tmp_path}/p.parquet", lambda df: df.limit(1))
     assert spark.read.parquet(f"{tmp_path}/p.parquet").count() == 1
+
+
+def test_sentence_spans(spark):
+    spans = lambda tokens, at: [tuple(x) for x in value(spark, text.sentence_spans(F.col("t"), F.lit(at)), t=(tokens, "array<string>"))]
+    assert spans(["a", " b", ".", " c", " d", "?", " ", "e"], 100) == [(0, 3), (3, 6), (6, 8)]
+    assert spans(["a", " b", ".", " c", " d"], 4) == [(0, 3), (3, 4), (4, 5)]
+    assert spans([".", "a", "\n\n", "b"], 100) == [(0, 2), (2, 4)] or spans([".", "a", "\n\n", "b"], 100) == [(0, 3), (3, 4)]
+    assert spans([], 3) == []
+
+
+def test_make_24():
+    from tracewright.functions.puzzles import evaluate
+
+    assert evaluate("(1+2+3)*4") == 24 and evaluate("8/(3-8/3)") == pytest.approx(24)
+    assert evaluate("1/0") is None and evaluate("__import__('os')") is None and evaluate("2**9") is None and evaluate(None) is None and evaluate("1 2") is None
+
+
+def test_credit_by_name(spark):
+    from tracewright.plans.credit import assign_credit
+
+    t = signal(spark, {r: [(7 * r * p) % 11 / 3 for p in range(40)] for r in (1, 2, 3, 4)}).withColumn("nlp", F.col("entropy")).withColumn("token", F.lit("x"))
+    o = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 0.1), (4, 0.0)], "response_id int, outcome double")
+    for splitter in ("sliding", "threshold", "peak"):
+        for reward in ("entropy_credit", "uniform", "rule"):
+            rows = assign_credit(t, o, splitter, reward).collect()
+            assert len(rows) == 160 and all(math.isfinite(r["token_advantage"]) for r in rows)
+    hybrid = {r["response_id"]: r["token_advantage"] for r in assign_credit(t, o, advantage="hybrid").where("pos = 39").collect()}
+    assert hybrid[1] > 0 > hybrid[2] and hybrid[2] == hybrid[4]
+    with pytest.raises(ValueError):
+        assign_credit(t, o, advantage="other")

@@ -215,3 +215,51 @@ def prompt(system: str, user: Column) -> Column:
 
 def first_user_message(messages: Column) -> Column:
     return F.get(F.filter(messages, lambda m: m["role"] == "user"), F.lit(0))["content"]
+
+
+def plain_normal(x: Column) -> Column:
+    """The short normal form of generated solutions: no spaces, one spelling of fractions, lower case."""
+    out = F.replace(strip(x), F.lit(" "), F.lit(""))
+    for old, new in (("\\frac", "frac"), ("\\dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("\\,", "")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.lower(out)
+
+
+def solution_is_correct(solution: Column, gold: Column) -> Column:
+    return F.coalesce(plain_normal(boxed_by_pattern(solution)) == plain_normal(gold), F.lit(False))
+
+
+def only_choice(x: Column, choices: str = "ABCD") -> Column:
+    """The one letter of choices that occurs in x, else "no-answer"."""
+    there = F.filter(F.array(*[F.lit(c) for c in choices]), lambda c: F.instr(x, c) > 0)
+    return F.when(F.size(there) == 1, F.get(there, F.lit(0))).otherwise("no-answer")
+
+
+def after_prefix(x: Column, prefix: str, finish_reason: Column, end_of_turn: str = "") -> Column:
+    """What follows the first prefix, with the end-of-turn token unless the text was cut off; null without the prefix."""
+    rest = F.substring(x, F.instr(x, prefix) + len(prefix), F.length(x))
+    return F.when(F.instr(x, prefix) > 0, F.when(finish_reason != "length", F.concat(rest, F.lit(end_of_turn))).otherwise(rest))
+
+
+def sentence_spans(tokens: Column, boundary: Column) -> Column:
+    """Spans (start, end) of decoded tokens that end at a blank line or after . ? !, at least two tokens each;
+    a span that crosses the boundary is cut there."""
+    ends = lambda t: t.rlike(r"[.?!]\s*$")
+    visible = lambda t: t.rlike(r"\S")
+    spans = "array<struct<start: int, end: int>>"
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(False).alias("mark"), F.expr(f"cast(array() as {spans})").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        mark = F.when(visible(t), ends(t)).otherwise(s["mark"])
+        close = (t.contains("\n\n") | mark) & (s["i"] > s["start"])
+        span = F.array(F.struct(s["start"].alias("start"), (s["i"] + 1).alias("end")))
+        return F.struct(
+            (s["i"] + 1).alias("i"), F.when(close, s["i"] + 1).otherwise(s["start"]).alias("start"), (mark & ~close).alias("mark"), F.when(close, F.concat(s["out"], span)).otherwise(s["out"]).alias("out")
+        )
+
+    rest = lambda s: F.when(s["start"] < s["i"], F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["i"].alias("end"))))).otherwise(s["out"])
+    cut = lambda x: F.when(
+        (x["start"] < boundary) & (boundary < x["end"]),
+        F.array(F.struct(x["start"].alias("start"), boundary.alias("end")), F.struct(boundary.alias("start"), x["end"].alias("end"))),
+    ).otherwise(F.array(x))
+    return F.flatten(F.transform(F.aggregate(tokens, zero, step, rest), cut))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import puzzles
 from ..functions import text as X
 from .rollouts import table
 
@@ -107,3 +108,40 @@ def t19_without_calculations(spark, sf_dir):
 def t28_solution_steps(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), X.steps(F.col("text")).alias("steps"))
     return d.select("doc_id", F.size("steps").alias("n_steps"), (F.array_join("steps", "") == F.col("text")).alias("whole"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AS correct FROM orders")
+def t13_plain_solution_check(spark, sf_dir):
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    solution = F.when(k % 4 == 0, F.concat(F.lit("\\boxed{ \\dfrac{"), n, F.lit("}{2} }"))).when(k % 4 == 1, F.concat(F.lit("\\boxed{1} \\boxed{\\frac{"), n, F.lit("}{2}}"))).when(k % 4 == 2, F.lit("\\boxed{1}")).otherwise(n)
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.solution_is_correct(solution, F.concat(F.lit("\\frac{"), n, F.lit("}{2}"))).alias("correct"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false ELSE true END AS correct FROM lineitem""")
+def t31_make_24(spark, sf_dir):
+    k = F.col("l_partkey") % 5
+    s = (
+        F.when(k == 0, "\\boxed{(1+2+3)*4 = 24}").when(k == 1, "\\boxed{4 \\times 3 \\times 2 \\times 1}").when(k == 2, "\\boxed{4*3*2} ").when(k == 3, "\\boxed{1} \\boxed{(1+2+3)*4}")
+        .otherwise("\\boxed{4*(3+2+1)}")
+    )
+    puzzle = F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", puzzles.makes_24(puzzles.only_boxed(s), puzzle).alias("correct"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'B' WHEN 1 THEN 'no-answer' ELSE 'no-answer' END AS choice, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN lang || '<end>' END AS rest FROM documents")
+def t34_answer_extractors(spark, sf_dir):
+    i = F.col("doc_id") % 3
+    x = F.when(i < 2, F.concat(F.lit("q Solution:"), F.col("lang"))).otherwise("nothing")
+    said = F.when(i == 0, "it is B.").when(i == 1, "A or C").otherwise("none")
+    reason = F.when(i == 0, "length").otherwise("stop")
+    return table(spark, sf_dir, "documents").select("doc_id", X.only_choice(said).alias("choice"), X.after_prefix(x, "Solution:", reason, "<end>").alias("rest"))
+
+
+@query()
+def t35_sentence_spans(spark, sf_dir):
+    tokens = F.split("text", "(?<= )")
+    spans = X.sentence_spans(tokens, F.lit(40))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("n"), spans.alias("s"))
+    covered = F.aggregate("s", F.lit(0), lambda a, x: a + x["end"] - x["start"])
+    return d.select("doc_id", F.size("s").alias("n_spans"), (covered == F.col("n")).alias("whole"))
