@@ -15,6 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 4 << 20
+STRETCH_BYTES = 256 << 10
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _WINDOW_MULTIPLIER = 0xD1B54A32D192ED03
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -36,14 +37,14 @@ def powers(multiplier: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """multiplier**i and its inverse modulo 2**64 for i <= n; grown on demand."""
     have = _powers.get(multiplier)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 65536)
+        size = max(n + 1, STRETCH_BYTES + 1)
         out = []
         for m in (multiplier, pow(multiplier, -1, 1 << 64)):
             p = np.full(size, m, dtype=U64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
         have = (out[0], out[1])
-        if size <= 2 * CHUNK_BYTES:
+        if size <= CHUNK_BYTES:
             _powers[multiplier] = have
     return have
 
@@ -71,11 +72,19 @@ class Chunk:
         return np.diff(self.first)
 
     def word_hashes(self, fold_case: bool = False) -> np.ndarray:
-        raw = self.raw
-        if fold_case:
-            raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-        h = rolling(_BYTE_CODES[raw], self.starts, self.ends, _MULTIPLIER)
-        return mix(h + (self.ends - self.starts).astype(U64))
+        """A hash a word. Bytes are taken in stretches of whole words, as they need 50 bytes of memory each."""
+        out = [np.zeros(0, dtype=U64)]
+        a = 0
+        while a < len(self.starts):
+            low = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, low + STRETCH_BYTES, side="right")))
+            raw = self.raw[low : self.ends[b - 1]]
+            if fold_case:
+                raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
+            h = rolling(_BYTE_CODES[raw], self.starts[a:b] - low, self.ends[a:b] - low, _MULTIPLIER)
+            out.append(mix(h + (self.ends[a:b] - self.starts[a:b]).astype(U64)))
+            a = b
+        return np.concatenate(out)
 
     def gram_hashes(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of every n consecutive words of one document, with document and position."""
