@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,12 @@ from pyspark.sql import Window as W
 from .readers import PROMPTS
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a local one only where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_prompts(df: DataFrame, path: str) -> DataFrame:
     """Write prompt records and read them back; wrong types are an error before anything is written."""
     want, have = {f.name: f.dataType for f in PROMPTS.fields}, {f.name: f.dataType for f in df.schema.fields}
