@@ -69,3 +69,14 @@ def test_repeated_ids_empty_table_and_other_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ngram_join.near_duplicates(empty).count() == 0
     assert ngram_join.keep_one(empty).count() == 0
+
+
+def test_a_row_that_begins_many_partitions(spark):
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    docs = []
+    for k in range(12):
+        text = own(30 + k)
+        docs += [(500, "the same row in every partition of this table"), (600 + 2 * k, text), (601 + 2 * k, f"{text} more")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 12), SCHEMA)
+    assert {tuple(r) for r in ngram_join.near_duplicates(df, 3, 90).collect()} == brute(docs, 3, 90)

@@ -55,6 +55,17 @@ def test_substring_dedup(spark):
     assert substring_dedup.digest(empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_a_row_that_begins_many_partitions(spark):
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(20))
+    own = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 40)))
+    rows = []
+    for k in range(12):
+        rows += [(500, f"same {passage}"), (600 + 2 * k, f"{own()} {passage} {own()}"), (601 + 2 * k, own())]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, text string")
+    assert Counter(tuple(r) for r in substring_dedup.digest(docs).collect()) == brute_dedup(rows, 13)
+
+
 # quality rules
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import packing as pk
 from .components import components
 from .shared import let, n_partitions, written
-from .words import U64, chunks, mix
+from .words import U64, chunk_key, chunks, key_bucket, mix
 
 N_WORDS, PERCENT = 5, 80
 #: Groups of up to so many give their pairs; larger ones are compared in blocks of about BLOCK documents.
@@ -87,9 +87,9 @@ def _ship(n_words: int, n_buckets: int):
                 order = np.argsort(h)
                 h, doc = h[order] >> U64(64 - _BITS), doc[order]
                 seen += 1
-                key = int(mix(sig[0][:1] + np.array([doc_id[0] * 1_000_003 + seen], dtype=np.int64).view(U64))[0] >> U64(1))
+                key = chunk_key(seen)
                 meta = pk.planes(n) + doc_id.tobytes() + sig[0].tobytes() + sig[1].tobytes()
-                rows = [(key % n_buckets, key, _META, meta)]
+                rows = [(key_bucket(key, n_buckets), key, _META, meta)]
                 buckets = pk.bucket_of(h, n_buckets, _BITS)
                 rows += [(int(buckets[a]), key, _GRAMS, pk.rising(h[a:b]) + pk.planes(doc[a:b])) for a, b in pk.runs(buckets)]
                 yield pa.RecordBatch.from_arrays(

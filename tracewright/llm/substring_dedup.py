@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import packing as pk
 from .shared import n_partitions
-from .words import U64, chunks, mix
+from .words import U64, chunk_key, chunks, key_bucket
 
 WIDTH = 13
 _META, _WINDOWS, _FOUND = 0, 1, 2
@@ -51,7 +51,7 @@ def _ship(width: int, n_buckets: int):
             for chunk in chunks(batch.column(1)):
                 doc_id, mark = ids[chunk.rows], prints[chunk.rows]
                 seen += 1
-                key = int(mix(np.array([doc_id[0] * 1_000_003 + mark[0] + seen], dtype=np.int64).view(U64))[0] >> U64(1))
+                key = chunk_key(seen)
                 count = np.maximum(chunk.n_words - (width - 1), 0)
                 h, doc, _ = chunk.gram_hashes(chunk.word_hashes(), width)
                 order = np.argsort(h)
@@ -65,7 +65,7 @@ def _ship(width: int, n_buckets: int):
                 base = np.concatenate(([0], np.cumsum(count)))
                 meta = pk.planes(count) + doc_id.tobytes() + mark.tobytes() + pk.rising(np.sort(local))
                 buckets = pk.bucket_of(h, n_buckets)
-                rows = [(key % n_buckets, key, _META, meta)]
+                rows = [(key_bucket(key, n_buckets), key, _META, meta)]
                 for a, b in pk.runs(buckets):
                     at = place[a:b]
                     docs, which = np.unique(np.searchsorted(base, at, side="right") - 1, return_inverse=True)

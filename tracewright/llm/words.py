@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 U64 = np.uint64
 CHUNK_BYTES = 4 << 20
@@ -101,6 +102,17 @@ class Chunk:
         return mix(h ^ (self.n_words.astype(U64) + U64(0x5851F42D4C957F2D)))
 
 
+def chunk_key(seen: int) -> int:
+    """A key that no other chunk of the stage has: the partition of the task and the number of its chunk, the same on a retry."""
+    context = TaskContext.get()
+    return ((context.partitionId() if context else 0) << 32) | seen
+
+
+def key_bucket(key: int, n_buckets: int) -> int:
+    """Where the table of a chunk travels: spread, as keys of one partition follow each other."""
+    return int(mix(np.array([key], dtype=U64))[0] % U64(n_buckets))
+
+
 def chunk_of(rows: np.ndarray, texts: list[bytes]) -> Chunk:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
