@@ -115,6 +115,17 @@ def test_quality_rules(spark):
     assert quality.judge(table(spark, clean), labels.where("false")).where("kept").count() == 30
 
 
+def test_quality_rules_reject_no_less_of_a_larger_corpus(spark):
+    share = []
+    for sf in ("sf0.01", "sf0.1"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{x}.parquet") for x in ("documents", "labels"))
+        of = quality.digest(docs, labels).where("not base_failed").join(labels.groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id")
+        got = {r["q"]: r for r in of.groupBy("q").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+        share.append(1 - got[0]["kept"])
+        assert got[1]["kept"] > 0.99
+    assert share[1] >= share[0] > 0.9
+
+
 # secrets
 
 
