@@ -378,6 +378,13 @@ def test_wrapper_induction(spark):
     assert html_wrappers.extract(df.where("false")).count() == 0
 
 
+def test_copies_of_a_page_in_many_partitions_are_one_page(spark):
+    html = "<html><body><article><h1>The title</h1><div>Lead</div><p>The only paragraph</p></article></body></html>"
+    rows = [(k, "https://copies.example/a", html) for k in range(48)]
+    pages = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "page_id long, url string, html string")
+    assert {r["text"] for r in html_wrappers.extract(pages).collect()} == {"The title Lead The only paragraph"}
+
+
 def test_simple_tree_matching():
     leaf = lambda t: [t, 1, "", 0, 0, []]
     a = ["r", 1, "", 0, 0, [leaf("x"), leaf("y"), leaf("z")]]

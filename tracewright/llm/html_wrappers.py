@@ -11,9 +11,10 @@ the like by tag, role or class, or lists of links. Within a wrapper the content
 region is found by going down from the body as long as one child holds most of
 the varying text.
 
-Scale. Wrappers are folded in the tasks that parse the pages, so a host with a
-third of all pages gives one small tree a batch; these are folded in two steps,
-salted first. A wrapper is cut to its ``MAX_NODES`` best supported nodes: a bound on
+Scale. The wrappers of single pages, compressed, meet by host and digest of the
+html, where copies become one. They are folded in the tasks that hold them then,
+so a host with a third of all pages gives one small tree a batch; these are
+folded in two steps, salted first. A wrapper is cut to its ``MAX_NODES`` best supported nodes: a bound on
 the template, every page is still read. Pages meet their host's wrapper in a
 shuffle join that AQE can split. Each page is parsed twice.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -188,16 +190,23 @@ def _pruned(w: list) -> list:
     return keep(w)
 
 
-def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per page with html, copies in the batch once: host, digest of the html, wrapper."""
     for batch in batches:
-        found: dict[str, list] = {}
-        seen: set[tuple[str, bytes]] = set()
+        rows: dict[tuple[str, bytes], bytes] = {}
         for host, html in zip(batch["host"], batch["html"], strict=True):
             mark = (host, hashlib.md5((html or "").encode("utf-8", "replace")).digest())
-            if html and mark not in seen:
-                seen.add(mark)
-                w = _sketch(parse(html))
-                found[host] = merge(found[host], w) if host in found else w
+            if html and mark not in rows:
+                rows[mark] = zlib.compress(json.dumps(_sketch(parse(html))).encode())
+        yield pd.DataFrame([(*k, w) for k, w in rows.items()], columns=["host", "mark", "sketch"], dtype=object)
+
+
+def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found: dict[str, list] = {}
+        for host, sketch in zip(batch["host"], batch["sketch"], strict=True):
+            w = json.loads(zlib.decompress(sketch))
+            found[host] = merge(found[host], w) if host in found else w
         rows = [(h, json.dumps(_pruned(w))) for h, w in sorted(found.items())]
         yield pd.DataFrame(rows, columns=["host", "wrapper"], dtype=object)
 
@@ -213,7 +222,8 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 def induce(pages: DataFrame) -> DataFrame:
     """(host, wrapper) over all pages(host, html)."""
     kind = "host string, wrapper string"
-    part = pages.select("host", "html").mapInPandas(_partial, kind)
+    sketches = pages.select("host", "html").mapInPandas(_sketches, "host string, mark binary, sketch binary")
+    part = sketches.groupBy("host", "mark").agg(F.first("sketch").alias("sketch")).select("host", "sketch").mapInPandas(_partial, kind)
     part = part.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(_SALT)).alias("salt")).applyInPandas(_fold, kind)
     return part.groupBy("host").applyInPandas(_fold, kind)
 
