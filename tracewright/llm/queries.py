@@ -62,6 +62,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_warc_splittable_reader": warc.SQL,
     "op6_source_mixing": mixing.SQL,
+    "op8_secret_scan": secrets.SQL,
     "op9_ngram_jaccard_join": ngram_join.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
 }

@@ -18,23 +18,34 @@ and matches before it; lengths are in code points, ends are exclusive.
 
 Scale. One pass over each row with Spark's own expressions, no shuffle at all.
 Only texts in which a pattern occurs pay for its positions. The running counts
-hold one number a character of the class's alphabet, whatever the text.
+hold one number a character of the alphabet, whatever the text. A candidate is
+taken in stretches of ``STRETCH`` windows and matches in blocks of ``BLOCK``, so
+that the work grows in proportion to a text, however long its runs are.
 
 Defined cases: a null text counts as empty and has no spans; the hash of no
-spans is that of the empty string; repeated rows each give their row.
+spans is that of the empty string; repeated rows each give their row; an empty
+table gives no rows; a text or run of any length is read whole; spans that start
+together come by kind, then end; columns of docs named ``base_spans`` or
+``all_spans`` are replaced, all others kept (``_assign``, ``_values`` and
+``_candidates`` are names of this module).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import let
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
+STRETCH, BLOCK = 108, 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Entropy in bits a character that a window must reach, by class.
 THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.6, "base64": 3.8}
@@ -48,20 +59,29 @@ _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-
 _SPANS = "array<struct<start: bigint, kind: int, end: bigint>>"
 
 
+def _running(lengths: Column) -> Column:
+    """The sum of all earlier numbers, for each number of an array; block by block, so that no step copies a long array."""
+    nothing = lambda: F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    scan = lambda v: F.aggregate(v, nothing(), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    total = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK)), lambda k: F.slice(v, k + 1, F.lit(BLOCK)))
+    sums = lambda c: F.flatten(F.zip_with(c, scan(F.transform(c, total)), lambda v, base: F.transform(scan(v), lambda x: x + base)))
+    return let(lengths, lambda v: F.when(F.size(v) > 0, let(cut(v), sums)).otherwise(F.expr("cast(array() as array<bigint>)")))
+
+
 def _located(text: Column, pattern: str) -> Column:
     """Matches with their start in code points: array of (start, match)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<start: bigint, match: string>>)").alias("out"))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["g"])
-        item = F.array(F.struct(start.alias("start"), x["m"].alias("match")))
-        return F.struct((start + F.length(F.coalesce(x["m"], F.lit("")))).alias("at"), F.when(x["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], item)).alias("out"))
+    def at(x: Column) -> Column:
+        # a match starts after its gap and all gaps and matches before it
+        gaps, matches = x["gaps"], x["matches"]
+        before = _running(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(F.coalesce(m, F.lit("")))).cast("array<bigint>"))
+        starts = F.zip_with(before, gaps, lambda b, g: b + F.length(g))
+        return F.slice(F.zip_with(starts, matches, lambda s, m: F.struct(s.alias("start"), m.alias("match"))), F.lit(1), F.size(matches))
 
     none = F.expr("cast(array() as array<struct<start: bigint, match: string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), let(F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("matches")), at)).otherwise(none)
 
 
 def _spans(located: Column, kind: int) -> Column:
@@ -80,63 +100,74 @@ def _threshold(s: Column) -> Column:
     return out
 
 
-def _flogf(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-
-
-def _hot_windows(s: Column) -> Column:
-    """Starts (from 0) of the windows of a candidate that reach its threshold, by incremental counts."""
-    least = WINDOW * (F.log2(F.lit(WINDOW).cast("double")) - _threshold(s))
+def _hot_in(codes: Column, least: Column, first: Column) -> Column:
+    """Which of the windows that start at first and up to STRETCH - 1 later reach the threshold, by incremental counts."""
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(_ALPHABET) + 1).alias("counts"),
+        F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"),
         F.lit(0.0).alias("load"),
         F.lit(0).alias("letters"),
         F.lit(0).alias("digits"),
         F.expr("cast(array() as array<int>)").alias("hot"),
     )
-    code = lambda c: F.instr(F.lit(_ALPHABET), c)
-    letter = lambda c: c.rlike("[A-Za-z]").cast("int")
-    digit = lambda c: c.rlike("[0-9]").cast("int")
-
-    def step(state: Column, i: Column) -> Column:
-        enters, leaves = F.substring(s, i, F.lit(1)), F.when(i > WINDOW, F.substring(s, i - WINDOW, F.lit(1))).otherwise("")
-        a, b = _code(enters), _code(leaves)
-        change = F.transform(state["counts"], lambda c, k: c + (k == a - 1).cast("int") - (k == b - 1).cast("int"))
-        up, down = F.get(state["counts"], a - 1), F.get(state["counts"], b - 1)
-        same = a == b
-        load = F.when(same, state["load"]).otherwise(
-            state["load"] + _flogf(up + 1) - _flogf(up) + F.when(b > 0, _flogf(down - 1) - _flogf(down)).otherwise(0.0)
-        )
-        letters = state["letters"] + letter(enters) - letter(leaves)
-        digits = state["digits"] + digit(enters) - digit(leaves)
-        hit = (i >= WINDOW) & (load <= least + 1e-9) & (letters > 0) & (digits > 0)
-        return F.struct(
-            change.alias("counts"), load.alias("load"), letters.alias("letters"), digits.alias("digits"),
-            F.when(hit, F.concat(state["hot"], F.array(i - WINDOW))).otherwise(state["hot"]).alias("hot"),
-        )
-
-    def _code(c: Column) -> Column:
-        return F.when(c == "", F.lit(0)).otherwise(code(c))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda x: x["hot"])
+    weights = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 2)])
+    letter = lambda c: F.coalesce(c <= 52, F.lit(False)).cast("int")
+    digit = lambda c: F.coalesce((c > 52) & (c <= 62), F.lit(False)).cast("int")
+
+    def moved(counts: Column, code: Column, by: int) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), code - 1), F.array(F.get(counts, code - 1) + by), F.slice(counts, code + 1, F.lit(len(_ALPHABET))))
+
+    def change(counts: Column, code: Column, by: int) -> Column:
+        now = F.get(counts, code - 1)
+        return F.get(weights, now + by) - F.get(weights, now)
+
+    def step(s: Column, i: Column) -> Column:
+        enters, leaves = F.get(codes, i), F.when(i - WINDOW >= first, F.get(codes, i - WINDOW))
+        fewer = F.when(leaves.isNull(), s["counts"]).otherwise(moved(s["counts"], leaves, -1))
+        load = s["load"] + F.coalesce(change(s["counts"], leaves, -1), F.lit(0.0))
+        letters = s["letters"] + letter(enters) - letter(leaves)
+        digits = s["digits"] + digit(enters) - digit(leaves)
+        part = F.struct(fewer.alias("counts"), load.alias("load"), letters.alias("letters"), digits.alias("digits"))
+
+        def entered(x: Column) -> Column:
+            load = x["load"] + change(x["counts"], enters, 1)
+            hit = (i - first >= WINDOW - 1) & (load <= least + 1e-9) & (x["letters"] > 0) & (x["digits"] > 0)
+            hot = F.when(hit, F.concat(s["hot"], F.array(i - WINDOW + 1))).otherwise(s["hot"])
+            return F.struct(moved(x["counts"], enters, 1).alias("counts"), load.alias("load"), x["letters"].alias("letters"), x["digits"].alias("digits"), hot.alias("hot"))
+
+        return let(part, entered)
+
+    last = F.least(first + STRETCH + WINDOW - 2, F.size(codes) - 1)
+    return F.aggregate(F.sequence(first, last), zero, step, lambda x: x["hot"])
+
+
+def _hot_windows(s: Column) -> Column:
+    """Starts (from 0) of the windows of a candidate that reach its threshold, ascending."""
+    least = WINDOW * (F.log2(F.lit(WINDOW).cast("double")) - _threshold(s))
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(_ALPHABET), c))
+    starts = F.sequence(F.lit(0), F.length(s) - WINDOW, F.lit(STRETCH))
+    each = lambda x: F.flatten(F.transform(starts, lambda first: _hot_in(x["codes"], x["least"], first)))
+    return let(F.struct(codes.alias("codes"), least.alias("least")), each)
+
+
+def _allowed(s: Column, allow: tuple[str, ...]) -> Column:
+    """Whether the caller or one of ALLOWED lets s go; without nested repetition, on which Java's patterns recurse."""
+    word = "([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}"
+    parts = F.filter(F.split(s, "[-_=/+]+"), lambda x: x != "")
+    words = let(parts, lambda w: F.coalesce(F.get(w, 0).rlike(f"^{word}$"), F.lit(False)) & F.forall(w, lambda x: x.rlike(f"^({word}|[0-9]{{1,4}})$")))
+    ordered = F.length(F.regexp_replace(s, "(?i)0123456789|abcdefghijklmnopqrstuvwxyz|[-_=/+]", "")) == 0
+    known = F.coalesce(s.isin(*allow), F.lit(False)) if allow else F.lit(False)
+    return known | s.rlike(ALLOWED[0]) | words | ordered
 
 
 def _entropy_spans(located: Column, allow: tuple[str, ...]) -> Column:
-    allowed = lambda s: F.coalesce(F.when(s.isin(*allow), True) if allow else F.lit(None).cast("boolean"), s.rlike("|".join(f"(?:{p})" for p in ALLOWED)))
-    candidates = F.filter(located, lambda x: ~allowed(x["match"]))
+    candidates = F.filter(located, lambda x: ~_allowed(x["match"], allow))
 
-    def of(x: Column) -> Column:
-        merged = F.aggregate(
-            _hot_windows(x["match"]),
-            F.expr("cast(array() as array<struct<a: int, b: int>>)"),
-            lambda out, i: F.when(
-                (F.size(out) > 0) & (F.element_at(out, -1)["b"] >= i),
-                F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["a"].alias("a"), (i + WINDOW).alias("b")))),
-            ).otherwise(F.concat(out, F.array(F.struct(i.alias("a"), (i + WINDOW).alias("b"))))),
-        )
-        return F.transform(merged, lambda r: F.struct((x["start"] + r["a"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + r["b"]).alias("end")))
+    def merged(x: Column, hot: Column) -> Column:
+        opens = F.filter(hot, lambda h, i: F.coalesce(h > F.get(hot, i - 1) + WINDOW, F.lit(True)))
+        closes = F.filter(hot, lambda h, i: F.coalesce(F.get(hot, i + 1) > h + WINDOW, F.lit(True)))
+        return F.zip_with(opens, closes, lambda a, b: F.struct((x["start"] + a).alias("start"), F.lit(3).alias("kind"), (x["start"] + b + WINDOW).alias("end")))
 
-    return F.flatten(F.transform(candidates, of))
+    return F.flatten(F.transform(candidates, lambda x: let(_hot_windows(x["match"]), lambda hot: merged(x, hot))))
 
 
 def _joined(spans: Column) -> Column:
@@ -166,3 +197,36 @@ def digest(docs: DataFrame) -> DataFrame:
         F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"),
         _joined(F.col("all_spans")).alias("spans"),
     )
+
+
+def _located_sql(pattern: str, group: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, f[k] AS match, v[k] AS value,
+      CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+    FROM (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM (
+      SELECT doc_id, regexp_extract_all(t, '{p}') AS f, regexp_extract_all(t, '{p}', {group}) AS v, regexp_split_to_array(t, '{p}') AS g FROM d))"""
+
+
+#: DuckDB, over the same tables: fixed patterns, and the entropy of every window taken anew.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents),
+base AS (
+  SELECT doc_id, a, 0 AS kind, a + length(match) AS b FROM ({_located_sql(ASSIGN, 1)}) WHERE length(value) >= 6
+  UNION ALL SELECT doc_id, a, 1, a + length(match) FROM ({_located_sql("AKIA[A-Z0-9]+", 0)}) WHERE length(match) >= 20
+  UNION ALL SELECT doc_id, a, 2, a + length(match) FROM ({_located_sql("[0-9a-f]+", 0)}) WHERE length(match) >= 24),
+candidate AS (
+  SELECT doc_id, a, match AS s, CASE WHEN regexp_matches(match, '^([0-9a-f]+|[0-9A-F]+)$') THEN {THRESHOLDS["hex"]} WHEN regexp_matches(match, '^[A-Za-z0-9]+$') THEN {THRESHOLDS["alphanumeric"]} ELSE {THRESHOLDS["base64"]} END AS least
+  FROM ({_located_sql(CANDIDATE, 0)}) WHERE NOT regexp_matches(match, '{"|".join(ALLOWED)}')),
+hot AS (
+  SELECT doc_id, a, i FROM (SELECT doc_id, a, least, i, s[i + 1:i + 20] AS w FROM (SELECT *, unnest(range(0, length(s) - 19)) AS i FROM candidate))
+  WHERE regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[0-9]') AND list_aggregate(string_split(w, ''), 'entropy') >= least - 1e-9),
+runs AS (
+  SELECT doc_id, a, i, sum(new) OVER (PARTITION BY doc_id, a ORDER BY i) AS run
+  FROM (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id, a ORDER BY i) + {WINDOW} THEN 1 ELSE 0 END AS new FROM hot)),
+spans AS (SELECT * FROM base UNION ALL SELECT doc_id, a + min(i), 3, a + max(i) + {WINDOW} FROM runs GROUP BY doc_id, a, run),
+named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || a || ':' || b AS span FROM spans)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY a, kind), '') AS spans
+FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id, d.row
+"""
