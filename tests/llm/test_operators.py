@@ -405,12 +405,96 @@ def test_copies_of_a_page_in_many_partitions_are_one_page(spark):
     assert {r["text"] for r in html_wrappers.extract(pages).collect()} == {"The title Lead The only paragraph"}
 
 
+def brute_matching(a, b):
+    """The largest top-down ordered matching, by trying every way to skip."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + brute_matching(x[0], y[0]) if x[0][0] == y[0][0] else 0)
+
+    return 1 + best(a[-1], b[-1])
+
+
 def test_simple_tree_matching():
-    leaf = lambda t: [t, 1, "", 0, 0, []]
-    a = ["r", 1, "", 0, 0, [leaf("x"), leaf("y"), leaf("z")]]
-    b = ["r", 1, "", 0, 0, [leaf("y"), leaf("w"), leaf("z"), leaf("x")]]
+    leaf = lambda t: [t, 1, "", 0, 0, 0, []]
+    a = ["r", 1, "", 0, 0, 0, [leaf("x"), leaf("y"), leaf("z")]]
+    b = ["r", 1, "", 0, 0, 0, [leaf("y"), leaf("w"), leaf("z"), leaf("x")]]
     assert html_wrappers.matching(a, b) == 3
-    assert [k[0] for k in html_wrappers.merge(a, b)[5]] == ["x", "y", "w", "z", "x"]
+    assert [k[0] for k in html_wrappers.merge(a, b)[-1]] == ["x", "y", "w", "z", "x"]
+    rng = random.Random(12)
+
+    def tree(depth):
+        return [rng.choice("xyz"), 1, "", 0, 0, 0, [tree(depth - 1) for _ in range(rng.randrange(5))] if depth else []]
+
+    for _ in range(300):
+        a, b = tree(2), tree(2)
+        a[0] = b[0] = "r"
+        assert html_wrappers.matching(a, b) == brute_matching(a, b)
+
+
+#: No article, main, list, class or id that says what a part is.
+BARE = """<body><div class=c1><p>The daily reader of small towns and long roads</p><p><a href=/>start</a> <a href=/x>all</a></p></div>
+<div class=c2><div class=c3><b>{title}</b></div><div class=c4><p>{lead}</p><div class=c5>Share this page with all of your friends today</div><p>{body}</p></div></div>
+<div class=c6><p>Printed on paper and sent by mail since the year 1900</p></div></body>"""
+
+
+def bare_pages(n):
+    rng = random.Random(13)
+    say = lambda k: " ".join(f"w{rng.randrange(900)}" for _ in range(k))
+    parts = [{"title": say(3), "lead": say(12), "body": say(40)} for _ in range(n)]
+    return [(BARE.format(**x), f"{x['title']} {x['lead']} {x['body']}") for x in parts]
+
+
+def test_only_the_wrapper_tells_content_from_template(spark):
+    pages = bare_pages(9)
+    rows = [(k, "https://bare.example/a", html) for k, (html, _) in enumerate(pages)] + [(100, "https://alone.example/a", pages[0][0])]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(df).collect()}
+    for k, (_, want) in enumerate(pages):
+        assert got[k] == want
+    # one page of a host shows no constancy, so its template stays
+    assert "since the year 1900" in got[100]
+
+
+def test_wrappers_do_not_hang_on_the_order_of_pages():
+    """A part that only later pages have, and they are most, is template although it begins rare."""
+    early = ["<body><div class=a><p>x%d some words that vary %d</p></div></body>" % (k, k) for k in range(1000)]
+    late = [x.replace("</body>", "<div class=z>The same line below</div></body>") for x in ("<body><div class=a><p>y%d other words that vary %d</p></div></body>" % (k, k) for k in range(6000))]
+    fold = html_wrappers.Fold()
+    for html in early + late:
+        fold.add(html_wrappers.sketch(html_wrappers.parse(html)))
+    wrapper = html_wrappers.Wrapper(fold.dump())
+    assert wrapper.text(late[7]) == "y7 other words that vary 7"
+    # pages that each have parts of their own leave a small wrapper
+    fold = html_wrappers.Fold()
+    for k in range(3000):
+        fold.add(html_wrappers.sketch(html_wrappers.parse(f"<body><p>{k}</p>" + "".join(f"<div class=u{k}x{j}>t</div>" for j in range(10)))))
+    size = lambda w: 1 + sum(map(size, w[-1]))
+    assert size(fold.tree) < 3000 * 10 / 10
+
+
+def test_titles_leads_and_all_articles_stay(spark):
+    page = "<body><div class=post><h1>Title {k}</h1><p>Lead that says a lot about {k}</p><div class=body><p>{long}</p><blockquote>Quote {k}</blockquote><ul><li><a href=1>link one {k}</a><li><a href=2>link two</a></ul></div></div></body>"
+    rows = [(k, "https://one.example/", page.format(k=k, long=f"word{k} " * 60)) for k in range(6)]
+    two = "<body><nav>N</nav><article><h2>A {k}</h2><p>first</p></article><aside><article>no</article></aside><article><p>second {k}</p><ul><li><a>l1</a><li><a>l2</a></ul></article></body>"
+    rows += [(10, "https://two.example/", two.format(k=1)), (11, "https://three.example/", page.format(k=9, long="single"))]
+    deep = "<body><article>" + "<div>" * 3000 + "deep text" + "</div>" * 3000 + "</article>"
+    rows += [(20 + k, "https://deep.example/", deep.replace("deep text", f"deep text {k}")) for k in range(6)]
+    wide = "<body><article>" + "".join(f"<p>p{j} {{k}}</p><ul><li>i{j}</li></ul>" for j in range(600)) + "</article>"
+    rows += [(30 + k, "https://wide.example/", wide.replace("{k}", str(k))) for k in range(6)]
+    rows += [(40, "https://broken.example/", '<body><article><a href="x>one</a> <b title=it\'s>two</b> <i title=\'>three</i></article>')]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == f"Title {k} Lead that says a lot about {k} {('word%d ' % k * 60).strip()} Quote {k} link one {k} link two"
+        assert got[20 + k] == f"deep text {k}"
+        assert got[30 + k].startswith(f"p0 {k} i0 p1 {k}") or got[30 + k].startswith(f"p0 {k} p1 {k}")
+    assert got[10] == "A 1 first second 1 l1 l2"
+    # no wrapper and no article: a list of links counts as a menu
+    assert got[11] == "Title 9 Lead that says a lot about 9 single Quote 9"
+    assert got[40] == "one two three"
 
 
 # WARC

@@ -25,8 +25,9 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 
+#: A quote opens a value only after =; one that is never closed ends with its tag.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>|<[!?/][^>]*>",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -46,7 +47,7 @@ class Node:
 
     @property
     def key(self) -> str:
-        return f"{self.tag}.{self.names}" if self.names else self.tag
+        return f"{self.tag}|{self.names}|{self.role}" if self.names or self.role else self.tag
 
 
 def _element(tag: str, rest: str) -> Node:
@@ -58,7 +59,7 @@ def _element(tag: str, rest: str) -> Node:
             if kind.lower() == "role":
                 node.role = value
             elif value:
-                names.append(value)
+                names.append(value.replace("|", " "))
         node.names = " ".join(names)
     return node
 
