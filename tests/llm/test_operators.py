@@ -238,6 +238,62 @@ def test_surrogates_are_distinct_when_the_pool_is_small(spark, monkeypatch):
     assert len(got) == 6 == len(set(got)) and "s3" not in got
 
 
+def replaced(spark, rows):
+    return {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_surrogates_keep_who_is_who(spark):
+    rows = [
+        (1, "Dr Anna Schmidt spoke. Then Mrs. Schmidt left; Anna Schmidt came back. SCHMIDT, said anna schmidt, and Schmidt."),
+        (2, "Mrs Anna Schmidt wrote to Mr Karl Schmidt."), (3, "Mr Huber, Mrs Smith, Mrs Novak and Dr Huber met. Winter came."),
+        (4, "Г-н Иван Петров и Г-жа Петрова. Иван Петров."), (5, "Jane.Doe@Example.com, JANE.DOE@EXAMPLE.COM"),
+        (6, "+14155552671, +49 30 12345678; 415 555 2671, 0171 2345678 at 10:20:30 and 2001:db8::8a2e:370:7334 FE80::1:2"),
+        (7, "No title for Anna Schmidt here."),
+    ]
+    got = replaced(spark, rows)
+    one = re.fullmatch(r"Dr ((\w+) (\w+)) spoke\. Then Mrs\. (\w+) left; (\w+ \w+) came back\. (\w+), said (\w+ \w+), and (\w+)\.", got[1])
+    full, given, last = one[1], one[2], one[3]
+    assert last == one[4] == one[8] and full == one[5] and one[6] == last.upper() and one[7] == full.casefold()
+    assert given in pii.GIVEN["f", "latin"] and last not in ("Schmidt", "Huber")
+    two = re.fullmatch(r"Mrs (\w+ \w+) wrote to Mr (\w+) (\w+)\.", got[2])
+    assert two[1] == full and two[3] == last and two[2] in pii.GIVEN["m", "latin"]
+    three = re.fullmatch(r"Mr (\w+), Mrs (\w+), Mrs (\w+) and Dr (\w+) met\. Winter came\.", got[3])
+    assert three[1] == three[4] and len({three[1], three[2], three[3], last}) == 4
+    four = re.fullmatch(r"Г-н (\w+) (\w+) и Г-жа (\w+)\. (\w+) (\w+)\.", got[4])
+    assert four[1] == four[4] in pii.GIVEN["m", "cyrillic"] and four[2] == four[5] != four[3] and re.fullmatch("[а-яё]+", four[3].casefold())
+    a, b = got[5].split(", ")
+    assert a.upper() == b and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}@[A-Z][a-z]{6}\.com", a) and a != "Jane.Doe@Example.com"
+    assert "4155552671" not in got[6] and "12345678" not in got[6] and "415 555" not in got[6] and "2345678" not in got[6] and "10:20:30" in got[6]
+    assert re.search(r"2001:[0-9a-f:]+ FE80:[0-9A-F:]+$", got[6]) and "8a2e" not in got[6]
+    assert got[7] == rows[6][1]
+
+
+def test_surrogates_of_many_entities_are_distinct(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(20_000):
+        title, given = rng.choice([("Mr", "Karl"), ("Mrs", "Clara"), ("Dr", "Xaver"), ("Prof", "Laura")])
+        name = f"{given}{'x' * (k % 3)} Nm{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'ab'[k // 1000 % 2]}"
+        rows.append((k, f"{title} {name}, u{k}@x.org, +1 (415) 555-{k % 10_000:04d}, 10.{k % 7}.{k % 250}.{k % 200 + 1}, x{k % 50}@y.io"))
+    got = replaced(spark, rows)
+    new, back = {}, {}
+    for i, t in rows:
+        a, b = pii.mentions(t), pii.mentions(got[i])
+        assert [x[2] for x in a] == [x[2] for x in b]
+        for x, y in zip(a, b):
+            assert new.setdefault(x[2:], y[3]) == y[3] and back.setdefault(y[2:], x[3]) == x[3]
+    assert not any((k, v) in new for (k, _), v in new.items())
+    assert len(new) > 40_000
+
+
+def test_mentions_take_time_by_length(spark):
+    import time
+
+    text = " ".join(f"user{k}@mail.example.com and Mr. Abc{'d' * (k % 9)} Efg" for k in range(20_000))
+    began = time.time()
+    assert len(pii.mentions(text)) == 40_000 and time.time() - began < 30
+
+
 # decontamination
 
 
