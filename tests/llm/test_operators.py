@@ -322,7 +322,7 @@ def test_decontamination(spark):
     rows = ODD + [(100 + k, text(150) + " " + edited(items[k % 8][1], k % 13).upper() + "  \n" + text(100)) for k in range(60)] + [(300, "a short one"), (301, "shorter"), (302, text(500))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (5000, 3):
-        got = table(spark, rows).select("doc_id", F.explode(decontam.hits(bench, block_items=block)).alias("h")).select("doc_id", "h.*")
+        got = decontam.contaminated(table(spark, rows), bench, block_items=block)
         want = set()
         for i, t in rows:
             for j, item in items:
@@ -334,8 +334,9 @@ def test_decontamination(spark):
                 if (k and d <= k) or (not k and re.search(rf"(?:^| ){re.escape(p)}(?:$| )", q)):
                     want.add((i, j, d, len(p)))
         assert {tuple(r) for r in got.collect()} == want
-    kept = decontam.clean(table(spark, rows), bench)
+        kept = decontam.clean(table(spark, rows).withColumn("_hits", F.lit(1)), bench, block_items=block).drop("_hits")
     assert kept.columns == table(spark, rows).columns
+    assert all(len(x) <= 3 for x in decontam.blocks(bench, 3)) and sorted(x for y in decontam.blocks(bench, 3) for x in y) == next(decontam.blocks(bench))
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _ in rows if i not in {w[0] for w in want})
     assert decontam.contaminated(empty(spark), bench).count() == 0
     assert decontam.contaminated(table(spark, rows), bench.where("false")).count() == 0

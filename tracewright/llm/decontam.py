@@ -9,28 +9,35 @@ bit-parallel distance, which finds the least number of edits of the item
 against any stretch of the text.
 
 Scale. One pass over the documents a block of items, with no shuffle. A block
-has at most ``BLOCK_ITEMS`` items and is sent with the task; a larger benchmark
-takes more blocks, so nothing grows with it but the number of passes. Hits of an
-item that lie together are verified once.
+has at most ``BLOCK_ITEMS`` items of ``BLOCK_CHARS`` characters in all, counted
+before it is collected, and is sent with the task. A larger benchmark takes more
+blocks, one after the other: each is a job of its own that writes its result, so
+neither the driver, a plan nor a task holds two. Hits of an item that lie
+together are verified once.
 
 Defined cases: a null or empty text has no hits; null or empty items match
 nothing; an item of fewer than ``CHARS_PER_ERROR`` characters has no budget and
 must occur exactly, at word edges; items that share an item_id are each tried, the
-least distance counts; repeated documents each give their rows.
+least distance counts, of equal ones that of the shorter item; repeated documents
+each give their rows; an empty table of documents gives no rows, one of items
+finds nothing; other columns are ignored, or kept as they are by ``clean``
+(``_row`` and ``_hits`` too); a text of any length is read whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 CHARS_PER_ERROR = 14
-BLOCK_ITEMS = 5_000
+BLOCK_ITEMS, BLOCK_CHARS = 5_000, 10_000_000
 _HITS = "array<struct<item_id: bigint, distance: int, n_chars: int>>"
 
 
@@ -134,7 +141,6 @@ class Matcher:
         yield a, b
 
 
-
 def _hits_udf(items: list[tuple[int, str]], chars_per_error: int):
     @F.pandas_udf(_HITS)
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -145,24 +151,37 @@ def _hits_udf(items: list[tuple[int, str]], chars_per_error: int):
     return find
 
 
-def hits(benchmark: DataFrame, chars_per_error: int = CHARS_PER_ERROR, block_items: int = BLOCK_ITEMS) -> Column:
-    """Column over a column ``text``: all items of the benchmark that occur in it, as an array."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    n_blocks = max(1, math.ceil(items.count() / block_items * 1.25))
-    out = []
-    for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        out.append(_hits_udf(sorted((r[0], normal(r[1])) for r in block.collect()), chars_per_error)("text"))
-    return F.concat(*out) if len(out) > 1 else out[0]
+def blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items, block by block: none has more than block_items items or block_chars characters, unless one item_id has."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
+    n = 1
+    while True:
+        block = F.pmod(F.xxhash64("item_id"), F.lit(n))
+        size = items.groupBy(block.alias("block")).agg(F.count("*").alias("items"), F.sum(F.length("text")).alias("chars"), F.count_distinct("item_id").alias("ids"))
+        if size.where(f"(items > {block_items} or chars > {block_chars}) and ids > 1").isEmpty():
+            break
+        n *= 2
+    for k in range(n):
+        yield sorted((r[0], normal(r[1])) for r in items.where(block == k).collect())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_PER_ERROR, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, distance, n_chars): every document and test item found in it."""
-    found = docs.select("doc_id", hits(benchmark).alias("hits")).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
-    return found
+    parts = []
+    last = None
+    for items in blocks(benchmark, block_items):
+        if last is not None:
+            parts.append(written(last, "hits", narrow=True))
+        found = docs.select("doc_id", F.explode(_hits_udf(items, chars_per_error)("text")).alias("h"))
+        last = found.select("doc_id", "h.*")
+    return reduce(DataFrame.unionByName, [*parts, last])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_PER_ERROR, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents in which no test item occurs, with the columns of docs."""
-    found = docs.select(F.struct("*").alias("_row"), "text").select("_row", hits(benchmark).alias("_hits"))
-    return found.where(F.size("_hits") == 0).select("_row.*")
+    left = None
+    for items in blocks(benchmark, block_items):
+        left = docs if left is None else written(left, "clean")
+        found = left.select(F.struct("*").alias("_row"), _hits_udf(items, chars_per_error)("text").alias("_hits"))
+        left = found.where(F.size("_hits") == 0).select("_row.*")
+    return left
