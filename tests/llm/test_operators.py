@@ -403,6 +403,78 @@ def test_toxicity(spark):
     assert toxicity.digest(empty(spark), label).count() == 0
 
 
+def test_toxicity_counts_and_calibration_by_brute_force(spark):
+    """The word scores, lambda, K and the histogram of E, from the definitions, over a small corpus."""
+    rng = random.Random(15)
+    common, rare = [f"c{k}" for k in range(30)], [f"r{k}" for k in range(400)]
+    rows, labels = [], []
+    for k in range(240):
+        w = [rng.choice(common) for _ in range(25)] + [rng.choice(rare) for _ in range(6)]
+        if k % 4 == 0:
+            w[3:5] = rng.sample(["vile", "rotten", "filthy"], 2)
+        rows.append((k, " ".join(w).upper() if k % 7 == 0 else " ".join(w)))
+        labels.append((k, int(k % 4 == 0)))
+    label = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = table(spark, rows, extra=False)
+    ids = spark.range(240).select("id", F.pmod(F.xxhash64("id"), F.lit(toxicity.FOLDS)).alias("fold"), (F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0).alias("out"))
+    fold = {r["id"]: r["fold"] for r in ids.collect() if not r["out"]}
+    model = toxicity.train(docs, label)
+    sets = {i: set(t.lower().split()) for i, t in rows if i in fold}
+    truth = dict(labels)
+
+    def scores(train):
+        n1 = sum(truth[i] for i in train)
+        n0 = len(train) - n1
+        count = Counter((w, truth[i]) for i in train for w in sets[i])
+        p = n1 / (n0 + n1)
+        out = {}
+        for w in {w for w, _ in count}:
+            one, zero = count[w, 1], count[w, 0]
+            odds = math.log((one + 5 * p) / (zero + 5 * (1 - p))) - math.log(p / (1 - p))
+            if abs(odds) >= 0.25 and (one and one >= n1 / 2000 or zero and zero >= n0 / 2000):
+                out[w] = (odds - 1.5, zero)
+        return out
+
+    want = scores(list(fold))
+    assert set(model.table) == set(want) and all(abs(model.table[w] - s) < 1e-9 for w, (s, _) in want.items())
+    assert model.table["vile"] > 0 and min(model.table.values()) < -1.5
+
+    def brute_rate(found, train):
+        total = sum(len(sets[i]) for i in train if not truth[i])
+        share = {w: (zero + 0.05) / total for w, (_, zero) in found.items()}
+        rest = max(0, 1 - sum(share.values()))
+        f = lambda x: rest * math.exp(-1.5 * x) + sum(p * math.exp(x * found[w][0]) for w, p in share.items()) - 1
+        low, high = 1e-6, 64.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if f(mid) < 0 else (low, mid)
+        return low
+
+    assert abs(model.rate - brute_rate(want, list(fold))) < 1e-3
+    bins = Counter()
+    for j in range(toxicity.FOLDS):
+        train = [i for i in fold if fold[i] != j]
+        found = scores(train)
+        rate = brute_rate(found, train)
+        for i in (i for i in fold if fold[i] == j):
+            words = dict(rows)[i].lower().split()
+            segments = brute_segments([found[w][0] if w in found else -1.5 for w in words])
+            e = sum(math.exp(rate * s) for _, _, s in segments) / len(words)
+            bins[round(math.log(e) / toxicity.BIN) if e else toxicity._NONE, truth[i]] += 1
+    clean = sorted((b, n) for (b, y), n in bins.items() if not y)
+    assert abs(math.log(model.scale / toxicity._scale(clean))) < 2 * toxicity.BIN
+    # held-out documents are told apart
+    got = [r for r in toxicity.digest(docs, label).collect() if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
+
+
+def test_toxicity_replaces_columns_of_its_names(spark):
+    model = toxicity.Model({"scum": 2.0}, 1.0, 1.0, (0.0, 1.0))
+    docs = spark.createDataFrame([(1, "x scum", 5, "p"), (2, None, 6, "q")], "doc_id long, text string, score int, passages string")
+    got = toxicity.score(docs.withColumn("_row", F.lit(1)), model)
+    assert got.columns == ["doc_id", "text", "_row", "score", "passages"] and [r["score"] > 0.5 for r in got.orderBy("doc_id").collect()] == [True, False]
+
+
 # mixing
 
 

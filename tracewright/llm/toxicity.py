@@ -3,30 +3,35 @@
 Training. Labelled documents (never those held out) give, for each word, the
 number of toxic and of other documents that have it. A Dirichlet prior of mass
 ``PRIOR`` a word, centred on the background share of toxic text, shrinks the log
-odds of rare words towards zero. A word scores its log odds less ``DRIFT``;
-words outside the table score ``-DRIFT``, so the expected score of clean text is
-negative and segments that stand out are local.
+odds of rare words towards zero. A word scores its log odds less ``DRIFT``, be it
+a toxic word or one of clean text; words without evidence score ``-DRIFT``, so the
+expected score of clean text is negative and segments that stand out are local.
 
 Search. Ruzzo and Tompa's algorithm finds all maximal scoring segments of a
-document in linear time: each is a toxic passage with its score.
-
-Calibration. By extreme-value theory the number of segments of score S or more
-in n clean words is about K * n * exp(-lambda * S), where lambda solves
-sum(p * exp(lambda * s)) = 1 over the words of clean text, and K is set so that
-clean training documents are expected to show ``K * n * ... = 1`` at what they
-show on average. A document's statistic adds up its passages,
-T = log(1 + sum(exp(lambda * S) / (K * n))), and a logistic curve fitted to the
-training documents maps T to a score from 0 to 1.
-
-Scale. Word counts are pre-aggregated by task. The table keeps the
-``MAX_WORDS`` words with the highest log odds; at most ``MAX_LABELLED`` labelled
-rows, by the hash of their ids, take part in training and are broadcast. The
-curve is fitted on a histogram of T. Scoring is one pass without shuffle.
+document in linear time: each is a toxic passage with its score S.
+
+Calibration. By extreme-value theory the number of segments of score S or more in
+n clean words is about K * n * exp(-lambda * S), where lambda solves
+sum(p * exp(lambda * s)) = 1 over the words of clean text. A document's passages
+add up to E = sum(exp(lambda * S) / n), and K is read from the ``QUANTILE`` of E
+among clean training documents by the limit law P(E <= e) = exp(-K / e). The
+statistic T = log(1 + E / K) goes through a logistic curve to a score from 0 to 1.
+K and the curve come from documents whose words were not counted: each of
+``FOLDS`` parts of the training rows is scored by the counts of the others.
+
+Scale. Word counts are pre-aggregated by task. The table holds words whose log odds
+reach ``MIN_LOG_ODDS`` either way and that ``MIN_SHARE`` of the toxic or of the clean
+training documents have: a document of w different words on average leaves at most
+2 * w / MIN_SHARE of them, whatever the corpus. At most ``MAX_LABELLED`` labelled
+rows, by the hash of their ids, take part in training and are broadcast. K and the
+curve are fitted on a histogram of E. Scoring is one pass without shuffle.
 
 Defined cases: null and empty texts have T = 0 and get the score of that;
 without labels of both classes every score is 0; a doc_id with several labels is
 toxic if one says so; a null doc_id is not held out and has no label; repeated
-rows are scored alike.
+rows are scored alike; an empty table gives no rows; of segments with equal scores
+the first is found first; columns named ``score`` or ``passages`` are replaced, all
+others kept; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -39,13 +44,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PRIOR = 5.0
 DRIFT = 1.5
-MAX_WORDS = 50_000
 MAX_LABELLED = 200_000
 MIN_LOG_ODDS = 0.25
+MIN_SHARE = 1 / 2000
+FOLDS = 4
+QUANTILE = 0.9
 BIN = 0.25
+#: The bin of documents without any passage.
+_NONE = -1_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -86,16 +96,26 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> lis
 class Model:
     """Word scores and the constants of the calibration."""
 
-    def __init__(self, table: dict[str, float], rate: float, scale: float, curve: tuple[float, float] | None):
+    def __init__(self, table: dict[str, float], rate: float, scale: float = 1.0, curve: tuple[float, float] | None = None):
         self.table, self.rate, self.scale, self.curve = table, rate, scale, curve
+        self.positive = frozenset(w for w, s in table.items() if s > 0)
 
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
         tokens, get = words(text), self.table.get
+        if self.positive.isdisjoint(tokens):
+            return [], len(tokens)
         return maximal_segments([(i, s) for i, w in enumerate(tokens) if (s := get(w)) is not None]), len(tokens)
 
-    def statistic(self, text: str | None) -> float:
-        segments, n = self.passages(text)
-        return math.log1p(sum(math.exp(min(self.rate * s, 500.0)) for _, _, s in segments) / (self.scale * n)) if segments else 0.0
+    def log_evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
+        """log E, or minus infinity without passages."""
+        if not segments:
+            return -math.inf
+        top = max(s for _, _, s in segments)
+        return self.rate * top + math.log(sum(math.exp(self.rate * (s - top)) for _, _, s in segments) / n)
+
+    def statistic(self, log_evidence: float) -> float:
+        x = log_evidence - math.log(self.scale)
+        return x if x > 30 else math.log1p(math.exp(x))
 
     def score(self, t: float) -> float:
         if self.curve is None:
@@ -111,44 +131,50 @@ def training_labels(labels: DataFrame, column: str = "toxic") -> DataFrame:
 
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents by word and label, partial sums; the word null counts the documents themselves."""
+    """Documents by word, fold and label, partial sums; the word null counts the documents themselves."""
     for batch in batches:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, label in zip(batch["text"], batch["label"], strict=True):
-            counts[label].update({None, *words(text)})
-        every = counts[0].keys() | counts[1].keys()
-        yield pd.DataFrame({"word": pd.Series(list(every), dtype=object), "clean": [counts[0][w] for w in every], "toxic": [counts[1][w] for w in every]})
-
-
-def _statistics(model: Model):
+        counts: dict[str | None, list[int]] = {}
+        for text, label, fold in zip(batch["text"], batch["label"], batch["fold"], strict=True):
+            at = 2 * fold + label
+            for w in {None, *words(text)}:
+                if w not in counts:
+                    counts[w] = [0] * (2 * FOLDS)
+                counts[w][at] += 1
+        columns = {f"n{k}": [c[k] for c in counts.values()] for k in range(2 * FOLDS)}
+        yield pd.DataFrame({"word": pd.Series(list(counts), dtype=object), **columns})
+
+
+def _evidence(models: list[Model]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            t = batch["text"].map(lambda x: round(model.statistic(x) / BIN))
-            yield pd.DataFrame({"bin": t.astype("int64"), "label": batch["label"], "n": 1}).groupby(["bin", "label"], as_index=False).sum()
+            bins: Counter = Counter()
+            for text, label, fold in zip(batch["text"], batch["label"], batch["fold"], strict=True):
+                e = models[fold].log_evidence(*models[fold].passages(text))
+                bins[_NONE if e == -math.inf else round(e / BIN), label] += 1
+            yield pd.DataFrame([(*k, n) for k, n in bins.items()], columns=["bin", "label", "n"])
 
     return run
 
 
 def _solve_rate(table: dict[str, float], share: dict[str, float]) -> float:
     """lambda > 0 with sum(p * exp(lambda * s)) = 1 over clean words."""
-    rest = 1 - sum(share.values())
+    rest = max(0.0, 1 - sum(share.values()))
     excess = lambda x: rest * math.exp(-x * DRIFT) + sum(p * math.exp(min(x * table[w], 700.0)) for w, p in share.items()) - 1
     low, high = 1e-6, 1.0
     while excess(high) < 0 and high < 64:
         high *= 2
-    for _ in range(80):
+    for _ in range(40):
         mid = (low + high) / 2
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
     return low
 
 
-def _fit_curve(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
-    """Logistic regression of the label on T, by Newton's method with a slight ridge."""
+def _fit_curve(points: list[tuple[float, int, int]]) -> tuple[float, float]:
+    """Logistic regression of the label on T over (T, label, documents), by Newton's method with a slight ridge."""
     a, b = 0.0, 0.0
     for _ in range(50):
         ga, gb, haa, hab, hbb = -1e-3 * a, -1e-3 * b, 1e-3, 0.0, 1e-3
-        for k, y, n in bins:
-            t = k * BIN
+        for t, y, n in points:
             z = max(-30.0, min(30.0, a + b * t))
             p = 1 / (1 + math.exp(-z))
             ga, gb, h = ga + n * (y - p), gb + n * (y - p) * t, n * p * (1 - p)
@@ -164,38 +190,71 @@ def _fit_curve(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
     return a, b
 
 
+def _log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    share = n_toxic / (n_toxic + n_clean)
+    return math.log((toxic + PRIOR * share) / (clean + PRIOR * (1 - share))) - math.log(share / (1 - share))
+
+
+def _model(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, clean_words: float) -> Model:
+    """Scores and lambda from (word, toxic, clean) documents; clean_words: different words of all clean documents, summed."""
+    if not n_toxic or not n_clean:
+        return Model({}, 1.0)
+    table, share = {}, {}
+    for w, toxic, clean in counts:
+        odds = _log_odds(toxic, clean, n_toxic, n_clean)
+        if abs(odds) >= MIN_LOG_ODDS and (toxic and toxic >= MIN_SHARE * n_toxic or clean and clean >= MIN_SHARE * n_clean):
+            table[w] = odds - DRIFT
+            share[w] = (clean + PRIOR * 0.01) / max(1.0, clean_words)
+    return Model(table, _solve_rate(table, share) if table else 1.0)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents outside the held-out fold."""
     known = training_labels(labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "label")
-    counts = rows.mapInPandas(_tally, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = counts.where("word is null").select("clean", "toxic").first()
-    if n is None or not n["clean"] or not n["toxic"]:
-        return Model({}, 1.0, 1.0, None)
-    share = n["toxic"] / (n["toxic"] + n["clean"])
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "label", fold)
+    columns = [f"n{k}" for k in range(2 * FOLDS)]
+    counts = rows.mapInPandas(_tally, "word string, " + ", ".join(f"{c} long" for c in columns)).groupBy("word").agg(*[F.sum(c).alias(c) for c in columns])
+    clean, toxic = (sum(F.col(c) for c in columns[y::2]) for y in (0, 1))
+    counts = counts.withColumn("clean", clean).withColumn("toxic", toxic)
+    total = counts.agg(*[F.sum(F.when(F.col("word").isNull(), F.col(c))).alias(c) for c in columns], F.sum(F.when(F.col("word").isNotNull(), F.col("clean"))).alias("words")).first()
+    each = [total[c] or 0 for c in columns]
+    n_clean, n_toxic, clean_words = sum(each[0::2]), sum(each[1::2]), total["words"] or 0
+    if not n_clean or not n_toxic:
+        return Model({}, 1.0)
+    # a fold less has less evidence still: whatever any of the tables may hold
+    least = (F.col("toxic") > 0) & (F.col("toxic") >= 0.5 * MIN_SHARE * n_toxic) | (F.col("clean") >= max(1.0, 0.5 * MIN_SHARE * n_clean))
+    share = n_toxic / (n_toxic + n_clean)
     odds = F.log((F.col("toxic") + PRIOR * share) / (F.col("clean") + PRIOR * (1 - share))) - math.log(share / (1 - share))
-    best = counts.where("word is not null and toxic > 0").withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-    best = best.orderBy(F.desc("odds"), "word").limit(MAX_WORDS).collect()
-    table = {r["word"]: r["odds"] - DRIFT for r in best}
-    mean_words = max(1.0, counts.where("word is not null").agg(F.sum("clean")).first()[0] / n["clean"])
-    share_of = {r["word"]: (r["clean"] + PRIOR * 0.01) / (n["clean"] * mean_words) for r in best}
-    rate = _solve_rate(table, share_of) if table else 1.0
-    model = Model(table, rate, 1.0, None)
-    bins = rows.mapInPandas(_statistics(model), "bin long, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()
-    clean = [(r["bin"] * BIN, r["n"]) for r in bins if r["label"] == 0]
-    mean = sum(math.expm1(min(t, 50.0)) * k for t, k in clean if t < 50) / sum(k for _, k in clean)
-    scale = min(max(mean, 1e-2), 1e2)
-    # dividing by K moves T by about log K: take the statistics again with it
-    model = Model(table, rate, scale, None)
-    bins = rows.mapInPandas(_statistics(model), "bin long, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()
-    return Model(table, rate, scale, _fit_curve([(r["bin"], r["label"], r["n"]) for r in bins]))
+    found = counts.where(F.col("word").isNotNull() & least & (F.abs(odds) >= MIN_LOG_ODDS / 2)).select("word", *columns).toArrow()
+    name, n = found.column("word").to_pylist(), [found.column(c).to_pylist() for c in columns]
 
+    def without(fold: int | None) -> Model:
+        use = [k for k in range(FOLDS) if k != fold]
+        per_word = lambda y: [sum(x) for x in zip(*(n[2 * k + y] for k in use), strict=True)] if name else []
+        one = lambda y: sum(each[2 * k + y] for k in use)
+        return _model(list(zip(name, per_word(1), per_word(0), strict=True)), one(1), one(0), clean_words * one(0) / n_clean)
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (double, 0 to 1) and passages (start, end in words, score)."""
+    bins = rows.mapInPandas(_evidence([without(k) for k in range(FOLDS)]), "bin long, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()
+    model = without(None)
+    model.scale = _scale([(r["bin"], r["n"]) for r in bins if r["label"] == 0])
+    t = lambda b: 0.0 if b == _NONE else model.statistic(b * BIN)
+    model.curve = _fit_curve([(t(r["bin"]), r["label"], r["n"]) for r in bins])
+    return model
 
-    from pyspark.sql import types as T
 
+def _scale(bins: list[tuple[int, int]]) -> float:
+    """K by the limit law, from the QUANTILE of E among clean documents."""
+    total, below = sum(n for _, n in bins), 0
+    for b, n in sorted(bins):
+        below += n
+        if b != _NONE and below >= QUANTILE * total:
+            return min(max(-math.log(min(below / total, 0.999)) * math.exp(max(min(b * BIN, 30.0), -30.0)), 1e-9), 1e3)
+    return 1e-9
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score (double, 0 to 1) and passages (start, end in words, score), those that a clean document of its length is not expected to show."""
     passage = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))])
 
@@ -205,13 +264,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores, found = [], []
             for text in batch:
                 segments, n = model.passages(text)
-                t = math.log1p(sum(math.exp(min(model.rate * s, 500.0)) for _, _, s in segments) / (model.scale * n)) if segments else 0.0
-                scores.append(model.score(t))
+                e = model.log_evidence(segments, n)
+                scores.append(model.score(model.statistic(e) if segments else 0.0))
                 # significant: fewer than one such passage is expected in a clean document of this length
                 found.append([{"start": a, "end": b, "score": s} for a, b, s in segments if model.rate * s > math.log(model.scale * n)])
             yield pd.DataFrame({"score": scores, "passages": pd.Series(found, dtype=object)})
 
-    return docs.withColumn("_s", of("text")).select(*docs.columns, "_s.score", "_s.passages")
+    kept = [c for c in docs.columns if c not in ("score", "passages")]
+    row = docs.select(F.struct("*").alias("_row"), "text").select("_row", of("text").alias("_s"))
+    return row.select(*[F.col("_row").getField(c).alias(c) for c in kept], "_s.score", "_s.passages")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
