@@ -25,7 +25,8 @@ order; inside one compared pair they have a chance of n * n / 2**48.
 Defined cases: a null or empty text, or one without words, has an empty set and
 links with nothing; a text of fewer words than the n-gram has one n-gram, its
 whole sequence; rows with a null doc_id are left out; of rows that share a
-doc_id the one with the largest set decides; other columns are ignored.
+doc_id the one with the largest set decides; other columns are ignored; an empty
+table gives no rows; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import packing as pk
 from .components import components
-from .shared import let, n_partitions, written
+from .shared import let, n_buckets_for, written
 from .words import U64, chunk_key, chunks, key_bucket, mix
 
 N_WORDS, PERCENT = 5, 80
@@ -130,7 +131,7 @@ def _sets(percent: int):
     """One chunk: a row per document, with its shared n-grams in global order if it may have a partner."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        meta = pdf.data[pdf.kind == _META].iloc[0]
+        meta = pk.only(pdf.data[pdf.kind == _META])
         n, at = pk.read_planes(meta)
         k = len(n)
         ids = np.frombuffer(meta, np.int64, k, at)
@@ -161,10 +162,10 @@ def _sets(percent: int):
 
 def document_sets(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
     """A written row per doc_id: the size and signature of its n-gram set, and the shared n-grams of survivors."""
-    n_buckets = 2 * n_partitions(docs.sparkSession)
+    n_buckets = n_buckets_for(docs)
     base = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     shipped = base.mapInArrow(_ship(n_words, n_buckets), _SHIP)
-    met = shipped.groupBy("bucket").applyInPandas(_count, _BACK)
+    met = shipped.repartition(n_buckets // 2, "bucket").groupBy("bucket").applyInPandas(_count, _BACK)
     sets = written(met.groupBy("chunk").applyInPandas(_sets(percent), _SETS), "sets")
     if sets.groupBy("doc_id").count().where("count > 1").isEmpty():
         return sets

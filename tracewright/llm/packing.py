@@ -59,3 +59,10 @@ def runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of each run of equal values."""
     starts = group_starts(sorted_values).tolist()
     return list(zip(starts, [*starts[1:], len(sorted_values)][: len(starts)], strict=True))
+
+
+def only(blobs) -> bytes:
+    """The one table of documents of a chunk; two would mean that chunks were mixed."""
+    if len(blobs) != 1:
+        raise AssertionError(f"a chunk has {len(blobs)} tables of documents")
+    return blobs.iloc[0]

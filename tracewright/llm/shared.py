@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Text whose hashes one range takes: some 48 MB of postings, ten times that while they are sorted.
+BUCKET_BYTES = 32 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; a local folder only where it is unset and all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -44,6 +50,13 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def n_buckets_for(texts: DataFrame) -> int:
+    """Hash ranges for the words of column text: twice the shuffle partitions, and more where a range would hold the words
+    of over BUCKET_BYTES of text, so that what a Python worker holds at once does not grow with the corpus."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * n_partitions(texts.sparkSession), -(-size // BUCKET_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

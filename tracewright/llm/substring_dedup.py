@@ -9,13 +9,14 @@ Scale. A chunk of documents ships each of its distinct windows once, for the
 smallest doc_id of the chunk that has it: all other documents of the chunk
 already know that a smaller one exists. A passage in a third of all rows thus
 costs one posting a chunk, and no bucket holds more than its share of hashes
-plus that. Postings are about nine bytes. Documents are shuffled once, to meet
-their intervals.
+plus that. Postings are about nine bytes; the number of buckets follows the
+bytes of text. Documents are shuffled once, to meet their intervals.
 
 Defined cases: a null or empty text has no words and loses none; a text shorter
 than the window loses nothing; rows with a null doc_id are neither removed from
 nor counted; rows that share a doc_id do not remove from each other (they are
-the same document); other columns, of any name, are ignored. Two different
+the same document), wherever they lie; other columns, of any name, are ignored;
+an empty table gives no rows; a text of any length is read whole. Two different
 windows have the same hash with probability 2**-64 a pair.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packing as pk
-from .shared import n_partitions
+from .shared import n_buckets_for
 from .words import U64, chunk_key, chunks, key_bucket
 
 WIDTH = 13
@@ -123,7 +124,7 @@ def _intervals(width: int):
     """One chunk: its repeated windows, merged into maximal intervals of words a document."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        meta = pdf.data[pdf.kind == _META].iloc[0]
+        meta = pk.only(pdf.data[pdf.kind == _META])
         count, at = pk.read_planes(meta)
         n = len(count)
         ids = np.frombuffer(meta, np.int64, n, at)
@@ -149,11 +150,11 @@ def _intervals(width: int):
 
 def repeated_intervals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, mark, starts, ends): maximal word intervals to remove, for documents that have any."""
-    n_buckets = 2 * n_partitions(docs.sparkSession)
+    n_buckets = n_buckets_for(docs)
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).where("doc_id is not null")
     base = base.select(F.col("doc_id").cast("long"), "text", "mark")
     shipped = base.mapInArrow(_ship(width, n_buckets), _SHIP)
-    met = shipped.groupBy("bucket").applyInPandas(_meet, _BACK)
+    met = shipped.repartition(n_buckets // 2, "bucket").groupBy("bucket").applyInPandas(_meet, _BACK)
     spans = met.groupBy("chunk").applyInPandas(_intervals(width), "doc_id long, mark long, starts array<long>, ends array<long>")
     return spans.dropDuplicates(["doc_id", "mark"])
 
