@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import let
 
@@ -85,3 +88,50 @@ def forward_substitution(influence: Column, last: Column, first: Column) -> Colu
     product = lambda r, i: F.aggregate(F.zip_with(r, F.slice(F.get(influence, i - 1), F.lit(1), i), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
     solved = F.aggregate(F.sequence(F.lit(1), n), F.array(first), lambda r, i: F.concat(r, F.array(product(r, i) + F.when(i == n, last).otherwise(0.0))))
     return F.transform(F.when(n > 0, solved).otherwise(F.array(last)), lambda v: F.greatest(-bound, F.least(bound, v)))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _least_squares(influence: pd.Series, last: pd.Series) -> pd.Series:
+    """Shortest least-squares solution of the shifted system, for rows whose system is singular; null for the rest."""
+    out = []
+    for rows, r in zip(influence, last, strict=True):
+        if rows is None:
+            out.append(None)
+            continue
+        n = len(rows)
+        b = np.zeros((n, n))
+        for i, row in enumerate(rows):
+            b[i, : i + 1] = row[: i + 1]
+            if i + 1 < n:
+                b[i, i + 1] -= 1
+        c = np.zeros(n)
+        c[-1] = r
+        out.append(np.linalg.lstsq(b, c, rcond=None)[0].tolist())
+    return pd.Series(out, dtype=object)
+
+
+def rewards_to_outcome(influence: Column, last: Column) -> Column:
+    """Phase rewards r with r[i] = sum(influence[i-1][j] * r[j], j < i) that end in r[n] = last; clipped as above.
+
+    All are multiples of the first: those of first = 1 come by forward substitution, and the last equation gives the
+    factor. Where it vanishes the system is singular, and the shortest least-squares solution is taken.
+    """
+    n = F.size(influence)
+    bound = F.greatest(F.abs(last) * 10, F.lit(5.0))
+    product = lambda r, i: F.aggregate(F.zip_with(r, F.slice(F.get(influence, i - 1), F.lit(1), i), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+    units = F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(1.0)), lambda r, i: F.concat(r, F.array(product(r, i))))
+    determinant = F.element_at(units, -1)
+    singular = F.abs(determinant) < 1e-12
+    shortest = _least_squares(F.when((n > 0) & singular, influence), last)
+    solved = F.when(singular, shortest).otherwise(F.transform(F.slice(units, F.lit(1), n), lambda u: u * last / determinant))
+    return F.transform(F.when(n > 0, F.concat(solved, F.array(last))).otherwise(F.array(last)), lambda v: F.greatest(-bound, F.least(bound, v)))
+
+
+def human_count(x: Column) -> Column:
+    """A count with K, M, B or T: one decimal below 100 of a unit, none above, thousands parted."""
+    digits = F.when(x > 0, F.floor(F.log10(x.cast("double")) + 1e-12) + 1).otherwise(1)
+    group = F.least(F.ceil(digits / 3), F.lit(5)).cast("int")
+    unit = F.element_at(F.array(*map(F.lit, (" ", "K", "M", "B", "T"))), group)
+    scaled = x / F.pow(F.lit(1000.0), group - 1)
+    whole = (group == 1) | (scaled >= 100)
+    return F.concat_ws(" ", F.when(whole, F.format_number(F.floor(scaled), 0)).otherwise(F.format_number(scaled, 1)), unit)

@@ -51,3 +51,24 @@ def makes_24(answer: Column, puzzle: Column) -> Column:
     candidate = allowed & (used == F.sort_array(puzzle))
     value = _value(F.when(F.coalesce(candidate, F.lit(False)), expression))
     return F.coalesce(F.abs(value - 24) < 1e-6, F.lit(False))
+
+
+def reaches(numbers: tuple[float, ...], target: float = 24.0) -> bool:
+    """Whether + - * / over all numbers, each once, can come to the target: pairs are merged until one number is left."""
+    sets = {tuple(sorted(numbers))}
+    for _ in range(len(numbers) - 1):
+        merged = set()
+        for s in sets:
+            for i in range(len(s)):
+                for j in range(i):
+                    a, b, rest = s[i], s[j], s[:j] + s[j + 1 : i] + s[i + 1 :]
+                    values = [a + b, a - b, b - a, a * b] + ([a / b] if b else []) + ([b / a] if a else [])
+                    merged.update(tuple(sorted((*rest, round(v, 9)))) for v in values)
+        sets = merged
+    return any(abs(s[0] - target) < 1e-6 for s in sets if s)
+
+
+@F.pandas_udf(T.BooleanType())
+def can_make_24(puzzles: pd.Series) -> pd.Series:
+    """Whether the numbers of a puzzle can come to 24; give it distinct puzzles."""
+    return pd.Series([p is not None and len(p) > 0 and reaches(tuple(float(x) for x in p)) for p in puzzles], dtype="bool")

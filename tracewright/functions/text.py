@@ -263,3 +263,34 @@ def sentence_spans(tokens: Column, boundary: Column) -> Column:
         F.array(F.struct(x["start"].alias("start"), boundary.alias("end")), F.struct(boundary.alias("start"), x["end"].alias("end"))),
     ).otherwise(F.array(x))
     return F.flatten(F.transform(F.aggregate(tokens, zero, step, rest), cut))
+
+
+def levels(x: Column) -> Column:
+    """The values of a comma list, trimmed and in lower case; null for a list without text."""
+    return F.when(F.length(x) > 0, F.array_distinct(F.filter(F.transform(F.split(x, ","), lambda v: F.lower(strip(v))), lambda v: v != "")))
+
+
+def solution_text(reasoning: Column, content: Column, include_reasoning: bool = True) -> Column:
+    """The content, after the reasoning in think tags on lines of their own if that is wanted and there."""
+    if not include_reasoning:
+        return F.coalesce(content, F.lit(""))
+    wrapped = F.concat(F.lit("<think>\n"), reasoning, F.lit("\n</think>\n\n"), F.coalesce(content, F.lit("")))
+    return F.when(F.length(reasoning) > 0, wrapped).otherwise(F.coalesce(content, F.lit("")))
+
+
+def judge_prompt(system: str, question: Column, golden: Column, phases: Column, k: Column) -> Column:
+    """Messages that ask a judge for phase k (from 0) of phases, with the phases before it as context."""
+    before = F.transform(F.slice(phases, F.lit(1), k), lambda p, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), p))
+    none = F.expr("cast(array() as array<string>)")
+    context = F.when(k > 0, F.concat(F.array(F.lit("**Previous reasoning steps (from the response being evaluated):**")), before, F.array(F.lit("")))).otherwise(none)
+    task = F.concat(
+        F.lit("**Step "), (k + 1).cast("string"), F.lit(" of "), F.size(phases).cast("string"), F.lit(" to evaluate:**\n"), F.get(phases, k),
+        F.lit("\n\nEvaluate this reasoning step. Consider whether it aligns with the correct answer above. Output JSON: {\"score\": <0.0-1.0>, \"reason\": \"...\"}"),
+    )
+    answer = F.when(F.length(golden) > 0, F.array(F.concat(F.lit("**Correct Answer:** "), golden, F.lit("\n")))).otherwise(none)
+    return prompt(system, F.array_join(F.concat(F.array(F.concat(F.lit("**Math Problem:**\n"), question, F.lit("\n"))), answer, context, F.array(task)), "\n"))
+
+
+def hinted_prompt(system: str, question: Column, answer: Column, task: str = "Write a detailed step-by-step solution that arrives at this answer.") -> Column:
+    """Messages that give the answer and ask for a solution; without one use prompt()."""
+    return prompt(system, F.concat(F.lit("**Problem:** "), question, F.lit("\n\n**Correct Answer:** "), answer, F.lit("\n\n" + task)))

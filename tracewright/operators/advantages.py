@@ -120,8 +120,12 @@ def step_advantages(steps: DataFrame) -> DataFrame:
     """steps(response_id, step, reward, value) with advantage reward + next value - value; null values at the tail are
     filled from behind by reward + next value, after the last comes 0."""
     after = W.partitionBy("response_id").orderBy("step").rowsBetween(0, W.unboundedFollowing)
-    gathered = F.collect_list(F.struct("reward", "value")).over(after)
-    filled = F.aggregate(F.reverse(gathered), F.lit(0.0), lambda nxt, s: F.coalesce(s["value"], s["reward"] + nxt))
+    to_go = F.sum("reward").over(after)
+    steps = steps.withColumn("_to_go", to_go)
+    # up to the next known value only rewards count: what is to go here less what is to go there, plus that value
+    known = F.first(F.when(F.col("value").isNotNull(), F.struct("_to_go", "value")), ignorenulls=True).over(after)
+    steps = steps.withColumn("_known", known)
+    filled = F.coalesce("value", F.col("_to_go") - F.coalesce("_known._to_go", F.lit(0.0)) + F.coalesce("_known.value", F.lit(0.0)))
     out = steps.withColumn("filled", filled)
     nxt = F.coalesce(F.lead("filled").over(W.partitionBy("response_id").orderBy("step")), F.lit(0.0))
-    return out.withColumn("advantage", F.col("reward") + nxt - F.col("filled"))
+    return out.withColumn("advantage", F.col("reward") + nxt - F.col("filled")).drop("_to_go", "_known")

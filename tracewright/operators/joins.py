@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import let
+
 
 def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among the finished ones; Spark picks the strategy by size."""
@@ -22,13 +24,15 @@ def fan_out(requests: DataFrame, results: DataFrame, query: str) -> DataFrame:
 
 
 def accept_reject_pairs(rows: DataFrame, key: str, item: str, reward: str, threshold: float, most: int | None = None, seed: int = 42) -> DataFrame:
-    """Every accepted with every rejected item of a key; most: so many pairs a key, by hash."""
+    """Every accepted with every rejected item of a key; most: so many pairs a key, by hash, out of the most first
+    accepted and rejected items by hash, so that no key gives more than most squared pairs on the way."""
     good = rows.where(F.col(reward) >= threshold).select(key, F.col(item).alias("accepted"))
     bad = rows.where(F.col(reward) < threshold).select(key, F.col(item).alias("rejected"))
-    pairs = good.join(bad, key)
     if most is None:
-        return pairs
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("accepted").cast("string"), F.col("rejected").cast("string")))
+        return good.join(bad, key)
+    hashed = lambda *c: F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(x).cast("string") for x in c]))
+    first = lambda df, c: df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(hashed(c), c))).where(F.col("_r") <= most).drop("_r")
+    pairs, order = first(good, "accepted").join(first(bad, "rejected"), key), hashed("accepted", "rejected")
     return pairs.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("_r") <= most).drop("_r")
 
 
@@ -45,8 +49,24 @@ def splice_candidates(left: DataFrame, right: DataFrame, key: str, longest: int)
 def first_containing(texts: DataFrame, text: str, items: DataFrame, item_id: str, item: str, max_items: int = 50_000) -> DataFrame:
     """(text id columns, item_id) of the first item contained in each text.
 
-    Items are distinct and counted; up to max_items they are broadcast, beyond that they are taken in blocks.
+    An item of five words or more has three words inside that a text which contains it must have between single spaces:
+    texts and items meet by the hash of these three, and only pairs that meet are compared. Shorter items are
+    distinct and counted; up to max_items they are broadcast, beyond that they are taken in blocks.
     """
+    items = items.select(F.col(item_id).alias(item_id), F.col(item).alias(item))
+    words = F.split(F.col(item), " ", -1)
+    long_ = items.where(F.size(words) >= 5).select(F.col(item_id).alias("_id"), F.col(item).alias("_item"), F.xxhash64(F.get(words, F.lit(1)), F.get(words, F.lit(2)), F.get(words, F.lit(3))).alias("_gram"))
+    keys = [c for c in texts.columns if c != text]
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    inside = let(F.split(F.coalesce(F.col(text), F.lit("")), " ", -1), lambda w: F.when(F.size(w) >= 3, F.array_distinct(grams(w))))
+    met = texts.select(*keys, F.explode(inside).alias("_gram")).join(long_, "_gram").select(*keys, "_id", "_item").distinct()
+    found = texts.join(met, keys).where(F.col(text).contains(F.col("_item"))).groupBy(*keys).agg(F.min("_id").alias(item_id))
+    short = items.where(F.size(words) < 5)
+    both = found.unionByName(_first_containing_short(texts, text, short, item_id, item, max_items))
+    return both.groupBy(*keys).agg(F.min(item_id).alias(item_id))
+
+
+def _first_containing_short(texts: DataFrame, text: str, items: DataFrame, item_id: str, item: str, max_items: int) -> DataFrame:
     items = items.select(F.col(item_id).alias("_id"), F.col(item).alias("_item")).where("_item is not null and _item <> ''").groupBy("_item").agg(F.min("_id").alias("_id"))
     blocks = max(1, -(-items.count() // max_items))
     keys = [c for c in texts.columns if c != text]

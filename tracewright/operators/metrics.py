@@ -17,7 +17,7 @@ def per_problem(rollouts: DataFrame, correct_above: float = 0.5) -> DataFrame:
 
 
 def evaluation(problems: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """One row: accuracy, avg_at_n, maj_at_n, and pass_at_k and pass_at_k_unbiased of every k that all problems reach."""
+    """One row: accuracy, avg_at_n, maj_at_n, and pass_at_k and pass_at_k_unbiased of every k, over the problems with k samples."""
     n, c = F.col("n"), F.col("n_correct")
     out = [
         F.count("*").alias("n_problems"),
@@ -26,9 +26,8 @@ def evaluation(problems: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
         F.avg((c > n / 2).cast("double")).alias("maj_at_n"),
     ]
     for k in ks:
-        enough = F.min("n") >= k
-        out.append(F.when(enough, F.avg(pass_at_k(n, c, k))).alias(f"pass_at_{k}"))
-        out.append(F.when(enough, F.avg(pass_at_k(n, c, k, unbiased=True))).alias(f"pass_at_{k}_unbiased"))
+        out.append(F.avg(F.when(n >= k, pass_at_k(n, c, k))).alias(f"pass_at_{k}"))
+        out.append(F.avg(F.when(n >= k, pass_at_k(n, c, k, unbiased=True))).alias(f"pass_at_{k}_unbiased"))
     return problems.agg(*out)
 
 

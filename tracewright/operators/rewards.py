@@ -73,8 +73,13 @@ def influence(attention: DataFrame, norm: str = "none") -> DataFrame:
 def phase_attention(weights: DataFrame, phases: DataFrame) -> DataFrame:
     """weights(response_id, head, q, k, w) averaged over heads and blocks of phases; every pair of phases has a row."""
     p = phases.select("response_id", "phase_id", "phase_start", "phase_end")
-    q, k = p.alias("q"), p.alias("k")
-    pairs = q.join(k, "response_id").select("response_id", F.col("q.phase_id").alias("q_phase"), F.col("k.phase_id").alias("k_phase"), F.col("q.phase_start").alias("qa"), F.col("q.phase_end").alias("qb"), F.col("k.phase_start").alias("ka"), F.col("k.phase_end").alias("kb"))
-    w = weights.select(F.col("response_id").alias("r"), "q", "k", "w")
-    on = (pairs.response_id == w.r) & (w.q >= pairs.qa) & (w.q < pairs.qb) & (w.k >= pairs.ka) & (w.k < pairs.kb)
-    return pairs.join(w, on, "left").groupBy("response_id", "q_phase", "k_phase").agg(F.coalesce(F.avg("w"), F.lit(0.0)).alias("w"))
+
+    def placed(rows: DataFrame, position: str, name: str) -> DataFrame:
+        span = p.select(F.col("response_id").alias("r"), F.col("phase_id").alias(name), "phase_start", "phase_end")
+        on = (F.col("response_id") == F.col("r")) & (F.col(position) >= F.col("phase_start")) & (F.col(position) < F.col("phase_end"))
+        return rows.join(span, on).drop("r", "phase_start", "phase_end")
+
+    cells = placed(placed(weights.select("response_id", "q", "k", "w"), "q", "q_phase"), "k", "k_phase")
+    found = cells.groupBy("response_id", "q_phase", "k_phase").agg(F.avg("w").alias("w"))
+    grid = p.select("response_id", F.col("phase_id").alias("q_phase")).join(p.select("response_id", F.col("phase_id").alias("k_phase")), "response_id")
+    return grid.join(found, ["response_id", "q_phase", "k_phase"], "left").na.fill(0.0, ["w"])

@@ -16,11 +16,26 @@ def sample(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(order_key(key, seed), key).limit(k)
 
 
+def ranked(rows: DataFrame, keys: list[str], order: Column, tie: str, name: str = "_r") -> DataFrame:
+    """rows with their rank from 1 in each group by order, a hash in hexadecimal, then tie.
+
+    A group is ranked in 256 ranges of the hash, each in a task of its own; a range begins after the rows of those before
+    it, which a small table of counts tells.
+    """
+    rows = rows.withColumn("_o", order).withColumn("_b", F.substring("_o", 1, 2))
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy("_o", tie))
+    placed = rows.withColumn("_i", inside).alias("x").join(counts.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*keys, "_b")])
+    return placed.select("x.*", (F.col("_i") + F.col("_before")).alias(name)).drop("_o", "_b", "_i")
+
+
 def portion(rows: DataFrame, key: str, keys: list[str], share: float, seed: int = 42) -> DataFrame:
     """floor(n * share) rows of each group, by hash."""
-    w = W.partitionBy(*keys)
-    out = rows.withColumn("_r", F.row_number().over(w.orderBy(order_key(key, seed), key))).withColumn("_n", F.count("*").over(w))
-    return out.where(F.col("_r") <= F.floor(F.col("_n") * share)).drop("_r", "_n")
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    out = ranked(rows, keys, order_key(key, seed), key).alias("x").join(n.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys])
+    return out.where(F.col("_r") <= F.floor(F.col("_n") * share)).select("x.*").drop("_r")
 
 
 def shards(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
@@ -31,8 +46,11 @@ def shards(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 def epoch_plan(rows: DataFrame, keys: list[str], key: str, epochs: int, first: int, last: int, seed: int = 42) -> DataFrame:
     """Rows first (inclusive) to last of each group's concatenation of reshuffled epochs."""
     copies = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    at = F.row_number().over(W.partitionBy(*keys).orderBy("epoch", order_key(F.concat_ws(":", F.col("epoch").cast("string"), F.col(key).cast("string")), seed))) - 1
-    return copies.withColumn("slot", at).where((F.col("slot") >= first) & (F.col("slot") < last))
+    order = order_key(F.concat_ws(":", F.col("epoch").cast("string"), F.col(key).cast("string")), seed)
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    out = ranked(copies, [*keys, "epoch"], order, key).alias("x").join(n.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys])
+    out = out.select("x.*", (F.col("_r") - 1 + F.col("epoch") * F.col("_n")).cast("int").alias("slot")).drop("_r")
+    return out.where((F.col("slot") >= first) & (F.col("slot") < last))
 
 
 def thinned(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:

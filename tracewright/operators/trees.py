@@ -7,6 +7,7 @@ the operator needs. Trees are shallow: a fold is one aggregation a depth.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +19,16 @@ from ..functions.maths import best_of_k, importance_weight
 def fold_means(nodes: DataFrame, leaf_value: Column, deepest: int) -> DataFrame:
     """nodes with value and value_std: leaves have leaf_value (0 where null), others the mean and population deviation
     of their children's values, a mean of means."""
-    keep = [c for c in nodes.columns]
-    done: DataFrame | None = None
+    levels: list[DataFrame] = []
     for depth in range(deepest, -1, -1):
         level = nodes.where(F.col("depth") == depth)
-        if done is None:
+        if not levels:
             out = level.withColumn("value", F.coalesce(leaf_value, F.lit(0.0))).withColumn("value_std", F.lit(0.0))
         else:
-            below = done.where(F.col("depth") == depth + 1).groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.avg("value").alias("_v"), F.stddev_pop("value").alias("_s"))
-            out = level.join(below, ["tree_id", "node_id"], "left").select(*keep, F.coalesce("_v", leaf_value, F.lit(0.0)).alias("value"), F.coalesce("_s", F.lit(0.0)).alias("value_std"))
-        done = out if done is None else done.unionByName(out)
-    return done
+            below = levels[-1].groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.avg("value").alias("_v"), F.stddev_pop("value").alias("_s"))
+            out = level.join(below, ["tree_id", "node_id"], "left").select(*nodes.columns, F.coalesce("_v", leaf_value, F.lit(0.0)).alias("value"), F.coalesce("_s", F.lit(0.0)).alias("value_std"))
+        levels.append(out)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def edges(nodes: DataFrame, value: str = "value") -> DataFrame:
@@ -119,3 +119,28 @@ def episodes_from_paths(rows: DataFrame, filters: list[str] = (), post: list[str
     if top is not None:
         rows = top_percent(rows, "chain", top)
     return rows.where(F.size("chain") > 1)
+
+
+def random_paths(leaves: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """At most k leaves(tree_id, leaf_id) of each tree, by hash; ranks are cut before the shuffle."""
+    rank = F.row_number().over(W.partitionBy("tree_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("leaf_id").cast("string"))), "leaf_id"))
+    return leaves.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
+def preorder(nodes: DataFrame, deepest: int, separator: str = "/") -> DataFrame:
+    """nodes with path, the ids from the root on: ordered by tree_id and path they come parents first, depth first."""
+    level = nodes.where("parent_id is null").withColumn("path", F.col("node_id").cast("string"))
+    out = level
+    for _ in range(deepest):
+        above = level.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_above"))
+        level = nodes.where("parent_id is not null").join(above, ["tree_id", "parent_id"])
+        level = level.select(*[F.col(c) for c in nodes.columns], F.concat_ws(separator, "_above", F.col("node_id").cast("string")).alias("path"))
+        out = out.unionByName(level)
+    return out
+
+
+def spine(rows: DataFrame, key: str, steps: str, separator: str = "") -> DataFrame:
+    """(key, depth, text, full_text): the steps of a solution as a chain of nodes, each with the text up to it."""
+    at = F.posexplode(steps).alias("depth", "text")
+    full = F.array_join(F.slice(F.col(steps), F.lit(1), F.col("depth") + 1), separator)
+    return rows.select(key, steps, at).select(key, "depth", "text", full.alias("full_text"))

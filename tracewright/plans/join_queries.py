@@ -48,7 +48,8 @@ def j7_j8_accept_reject_pairs(spark, sf_dir):
     return J.accept_reject_pairs(rollouts(spark, sf_dir), "problem_id", "idx", "score", 0.5)
 
 
-@query(f"""WITH {ROLLOUTS}, p AS (SELECT a.problem_id, a.idx AS accepted, r.idx AS rejected FROM roll a JOIN roll r USING (problem_id) WHERE a.score >= 0.5 AND r.score < 0.5)
+@query(f"""WITH {ROLLOUTS}, s AS (SELECT problem_id, idx, score >= 0.5 AS good, row_number() OVER (PARTITION BY problem_id, score >= 0.5 ORDER BY md5('42:' || idx), idx) AS k FROM roll),
+p AS (SELECT a.problem_id, a.idx AS accepted, r.idx AS rejected FROM s a JOIN s r USING (problem_id) WHERE a.good AND NOT r.good AND a.k <= 3 AND r.k <= 3)
 SELECT problem_id, accepted, rejected FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY md5('42:' || accepted || ':' || rejected)) AS r FROM p) WHERE r <= 3""")
 def o7_capped_pairs(spark, sf_dir):
     return J.accept_reject_pairs(rollouts(spark, sf_dir), "problem_id", "idx", "score", 0.5, most=3)
@@ -59,12 +60,12 @@ def o6_first_good_responses(spark, sf_dir):
     return E.best_responses(rollouts(spark, sf_dir), "problem_id", "idx", "score", 0.5, 2).select("problem_id", "idx")
 
 
-@query(f"""WITH {TOKENS}, l AS (SELECT response_id, pos AS j, sum(entropy) OVER (PARTITION BY response_id ORDER BY pos) AS a, sum(entropy) OVER (PARTITION BY response_id ORDER BY pos DESC) AS b FROM tok WHERE pos < 12)
+@query(f"""WITH {TOKENS}, l AS (SELECT response_id, pos AS j, sum(entropy) OVER (PARTITION BY response_id ORDER BY pos) AS a, sum(entropy) OVER (PARTITION BY response_id ORDER BY pos DESC) AS b FROM tok)
 SELECT x.response_id, x.j, y.j AS i FROM l x JOIN l y USING (response_id) WHERE round(x.a, 6) + round(y.b, 6) <= 300""")
 def j11_splice_candidates(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    t = tokens(spark, sf_dir).where("pos < 12")
+    t = tokens(spark, sf_dir)
     w = W.partitionBy("response_id")
     t = t.select("response_id", "pos", F.round(F.sum("entropy").over(w.orderBy("pos")), 6).alias("a"), F.round(F.sum("entropy").over(w.orderBy(F.desc("pos"))), 6).alias("b"))
     left, right = t.select("response_id", F.col("pos").alias("j"), F.col("a").alias("prefix_length")), t.select("response_id", F.col("pos").alias("i"), F.col("b").alias("suffix_length"))

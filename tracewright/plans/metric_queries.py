@@ -37,9 +37,9 @@ _PROBLEMS = f"WITH {ROLLOUTS}, p AS (SELECT problem_id, count(*) AS n, count(*)
 
 
 @query(f"""{_PROBLEMS} SELECT count(*) AS n_problems, round(avg(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(m), 6) AS avg_at_n, round(avg(CASE WHEN c > n / 2 THEN 1.0 ELSE 0.0 END), 6) AS maj_at_n,
-""" + ", ".join(f"round(avg({_pass_sql(k, u)}), 6) AS pass_at_{k}{'_unbiased' * u}" for k in _KS for u in (False, True)) + " FROM p WHERE n >= 4")
+""" + ", ".join(f"round(avg(CASE WHEN n >= {k} THEN {_pass_sql(k, u)} END), 6) AS pass_at_{k}{'_unbiased' * u}" for k in _KS for u in (False, True)) + " FROM p")
 def eval_metrics(spark, sf_dir):
-    p = M.per_problem(rollouts(spark, sf_dir)).where("n >= 4")
+    p = M.per_problem(rollouts(spark, sf_dir))
     out = M.evaluation(p, _KS)
     return rounded(out, *[c for c in out.columns if c != "n_problems"])
 
@@ -142,11 +142,11 @@ def m2_m4_entropy_from_logits(spark, sf_dir):
     return e.select("vec_id", F.round(maths.entropy(F.col("embedding").cast("array<double>")), 6).alias("entropy"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: -ln(10 + x::DOUBLE * x)) AS lp FROM embeddings), s AS (SELECT vec_id, -list_sum(list_transform(lp, lambda v: exp(v) * v)) AS h, 1 - list_sum(list_transform(lp, lambda v: exp(v))) AS rest FROM e)
+@query("""WITH e AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: -ln(10 + x::DOUBLE * x)), 'DESC')[1:5] AS lp FROM embeddings), s AS (SELECT vec_id, -list_sum(list_transform(lp, lambda v: exp(v) * v)) AS h, 1 - list_sum(list_transform(lp, lambda v: exp(v))) AS rest FROM e)
 SELECT vec_id, round(h + CASE WHEN rest > 1e-10 THEN -rest * ln(rest) ELSE 0 END, 6) AS entropy FROM s""")
 def m3_top_k_entropy(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    lp = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 5), lambda x: -F.log(10 + x * x))
+    lp = F.slice(F.sort_array(F.transform(F.col("embedding").cast("array<double>"), lambda x: -F.log(10 + x * x)), asc=False), 1, 5)
     return e.select("vec_id", F.round(maths.top_k_entropy(lp), 6).alias("entropy"))
 
 

@@ -315,13 +315,13 @@ def a20_a21_a22_simple_phase_rewards(spark, sf_dir):
     )
 
 
-_ATT = f"WITH {TOKENS}, att AS (SELECT response_id, pos // 20 AS q_phase, k AS k_phase, avg(entropy * (k + 1)) AS w FROM tok, (SELECT unnest([0, 1, 2]) AS k) WHERE pos < 80 AND k <= pos // 20 GROUP BY ALL)"
+_ATT = f"WITH {TOKENS}, att AS (SELECT response_id, pos // 20 AS q_phase, k AS k_phase, avg(entropy * (k + 1)) AS w FROM tok, LATERAL (SELECT unnest(range(0, pos // 20 + 1)) AS k) GROUP BY ALL)"
 
 
 @query(f"""{_ATT}, i AS (SELECT response_id, q_phase - 1 AS i, k_phase AS j, w FROM att WHERE q_phase >= 1 AND k_phase <= q_phase - 1)
 SELECT response_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(w / sum(w) OVER (PARTITION BY response_id, i), 6) AS a FROM i""")
 def m14_influence_matrix(spark, sf_dir):
-    t = tokens(spark, sf_dir).where("pos < 80").withColumn("q_phase", F.floor(F.col("pos") / 20).cast("int"))
-    att = t.withColumn("k_phase", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("k_phase <= q_phase")
+    t = tokens(spark, sf_dir).withColumn("q_phase", F.floor(F.col("pos") / 20).cast("int"))
+    att = t.withColumn("k_phase", F.explode(F.sequence(F.lit(0), "q_phase")))
     att = att.groupBy("response_id", "q_phase", "k_phase").agg(F.avg(F.col("entropy") * (F.col("k_phase") + 1)).alias("w"))
     return rounded(R.influence(att, "row").select("response_id", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "a"), "a")

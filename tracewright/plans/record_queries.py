@@ -202,11 +202,11 @@ def t37_fitted_to_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.fitted(F.split("text", " "), 10), " ").alias("fitted"))
 
 
-@query("SELECT event_id, round(CASE WHEN event_type = 'click' THEN 0.0 ELSE value END, 9) AS masked, round(value - ln(exp(value) + exp(value / 2)), 9) AS taken, round(1 / (1 + exp(value / 2 - value)), 6) AS share FROM events WHERE value < 300")
+@query("SELECT event_id, round(CASE WHEN event_type = 'click' THEN 0.0 ELSE value END, 9) AS masked, round(-ln(1 + exp(-value / 2)), 9) AS taken, round(1 / (1 + exp(value / 2 - value)), 6) AS share FROM events")
 def m1_m5_m21_log_probabilities(spark, sf_dir):
     v = F.col("value")
     lp = M.log_softmax(F.array(v / 2, v))
-    e = table(spark, sf_dir, "events").where("value < 300")
+    e = table(spark, sf_dir, "events")
     masked = F.when(F.col("event_type") == "click", 0.0).otherwise(v)
     return e.select("event_id", F.round(masked, 9).alias("masked"), F.round(F.get(lp, F.lit(1)), 9).alias("taken"), F.round(F.exp(F.get(lp, F.lit(1))), 6).alias("share"))
 

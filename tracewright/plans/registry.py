@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import grader_queries, join_queries, metric_queries, phase_queries, record_queries, state_queries, text_queries, training_queries, tree_queries
+from . import episode_queries, grader_queries, join_queries, metric_queries, phase_queries, record_queries, state_queries, text_queries, training_queries, tree_queries
 
-MODULES = (phase_queries, metric_queries, tree_queries, text_queries, join_queries, state_queries, training_queries, record_queries, grader_queries)
+MODULES = (phase_queries, metric_queries, tree_queries, text_queries, join_queries, state_queries, training_queries, record_queries, grader_queries, episode_queries)
 
 
 def queries() -> dict:

@@ -104,7 +104,7 @@ def t19_without_calculations(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.without_calculations(x).alias("plain"))
 
 
-@query()
+@query("SELECT doc_id, CAST(greatest(1, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')))) AS INTEGER) AS n_steps, true AS whole FROM documents")
 def t28_solution_steps(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), X.steps(F.col("text")).alias("steps"))
     return d.select("doc_id", F.size("steps").alias("n_steps"), (F.array_join("steps", "") == F.col("text")).alias("whole"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +88,45 @@ def server_log_averages(spark: SparkSession, path: str) -> DataFrame:
     figures = {"prompt_throughput": r"[Pp]rompt throughput: ([0-9.]+)", "generation_throughput": r"[Gg]eneration throughput: ([0-9.]+)", "cache_usage": r"KV cache usage: ([0-9.]+)%"}
     lines = spark.read.text(path)
     return lines.agg(*[F.coalesce(F.avg(F.regexp_extract("value", p, 1).try_cast("double")), F.lit(0.0)).alias(n) for n, p in figures.items()])
+
+
+#: Evaluation sets: which columns hold question and answer; the first that is there counts.
+EVALUATIONS = {
+    "math500": SourceSpec("math500", ("problem",), ("answer",), extra={"level": "level", "type": "subject"}),
+    "gsm8k_test": SourceSpec("gsm8k", ("question",), ("answer",)),
+    "amc_2023": SourceSpec("amc_2023", ("problem",), ("answer",)),
+    "aime_2024": SourceSpec("aime_2024", ("problem",), ("answer", "solution")),
+    "aime_2025": SourceSpec("aime_2025", ("question", "problem"), ("answer",), extra={"config": "config"}),
+    "olympiad_bench": SourceSpec("olympiad_bench", ("question",), ("final_answer",)),
+    "minerva_math": SourceSpec("minerva_math", ("question", "problem"), ("answer", "solution")),
+    "omni_math": SourceSpec("omni_math", ("problem",), ("solution",)),
+    "hmmt": SourceSpec("hmmt", ("problem",), ("answer",)),
+    "brumo": SourceSpec("brumo", ("problem", "question"), ("answer",)),
+    "cmimc": SourceSpec("cmimc", ("problem",), ("answer",)),
+}
+
+
+def load_evaluation(name: str, *parts: tuple[str, DataFrame], index: str) -> DataFrame:
+    """Prompt records of an evaluation set from its parts (config, frame), numbered on from part to part by index;
+    of a list of answers the first counts."""
+    spec, out, begin = EVALUATIONS[name], None, 0
+    for config, df in parts:
+        answer = next(c for c in spec.answer if c in df.columns)
+        if isinstance(df.schema[answer].dataType, T.ArrayType):
+            df = df.withColumn(answer, F.coalesce(F.get(answer, F.lit(0)), F.lit("")))
+        rows = spec.load(df.withColumn("config", F.lit(config)).withColumn("_index", F.col(index) + begin), "test", "_index")
+        out = rows if out is None else out.unionByName(rows)
+        begin += df.count() if len(parts) > 1 else 0
+    return out
+
+
+def read_first(spark: SparkSession, paths: list[str], read: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+    """The first of several paths that can be read; the error of the last if none can."""
+    read = read or (lambda s, path: s.read.parquet(path))
+    for k, path in enumerate(paths):
+        try:
+            return read(spark, path)
+        except AnalysisException:
+            if k == len(paths) - 1:
+                raise
+    raise ValueError("no path given")

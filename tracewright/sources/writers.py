@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,12 @@ from .readers import PROMPTS
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a local one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")
+    """A new path in the folder of spark.checkpoint.dir; a local one only where that is unset and all tasks run here."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tracewright-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,11 +37,35 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def rewrite(spark: SparkSession, path: str, change) -> None:
-    """Replace a Parquet table by change(table): Spark cannot overwrite what it reads, so by way of a staging path."""
-    staging = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+def write_evaluations(datasets: dict[str, Callable[[], DataFrame]], folder: str, spark: SparkSession) -> DataFrame:
+    """Results of each dataset as JSON below folder, and a summary (dataset, n, mean_score, error): one that fails
+    is a row with its error, and the others are written all the same."""
+    rows = []
+    for name, evaluate in datasets.items():
+        try:
+            path = f"{folder.rstrip('/')}/{name}_results"
+            evaluate().write.mode("overwrite").json(path)
+            n, mean = spark.read.json(path).agg(F.count("*"), F.avg("score")).first()
+            rows.append((name, n, mean, None))
+        except Exception as e:  # noqa: BLE001  (the error is the row)
+            rows.append((name, None, None, type(e).__name__))
+    out = spark.createDataFrame(rows, "dataset string, n long, mean_score double, error string")
+    out.write.mode("overwrite").json(f"{folder.rstrip('/')}/summary")
+    return out
+
+
+def rewrite(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace a Parquet table by change(table), which Spark cannot overwrite while it reads it: written beside it, then
+    swapped by name. If the job is lost, the old table or the new one is there whole."""
+    path = path.rstrip("/")
+    staging, old = f"{path}-new-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
     change(spark.read.parquet(path)).write.parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for a, b in ((path, old), (staging, path)):
+        if not files.rename(place(a), place(b)):
+            raise OSError(f"cannot rename {a} to {b}")
+    files.delete(place(old), True)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:

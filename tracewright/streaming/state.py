@@ -45,9 +45,9 @@ def sticky_batch(questions: DataFrame, carried: DataFrame, n: int, seed: int) ->
     return marked.orderBy(F.coalesce("again", F.lit(0)).desc(), _hashed("question_id", seed=seed), "question_id").limit(n).select("question_id")
 
 
-def moments(rows: DataFrame, value: str) -> DataFrame:
-    """(n, mean, m2) of a column: a state that merges."""
-    return rows.agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("m2"))
+def moments(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(n, mean, m2) of a column, by keys if there are any: states that merge."""
+    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("m2"))
 
 
 def merged_moments(states: DataFrame) -> DataFrame:
