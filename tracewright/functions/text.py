@@ -294,3 +294,27 @@ def judge_prompt(system: str, question: Column, golden: Column, phases: Column,
 def hinted_prompt(system: str, question: Column, answer: Column, task: str = "Write a detailed step-by-step solution that arrives at this answer.") -> Column:
     """Messages that give the answer and ask for a solution; without one use prompt()."""
     return prompt(system, F.concat(F.lit("**Problem:** "), question, F.lit("\n\n**Correct Answer:** "), answer, F.lit("\n\n" + task)))
+
+
+def adapted_messages(messages: Column, supports_system: bool, developer_role: bool = False) -> Column:
+    """Messages for a provider: system messages as they are, as developer messages, or at the head of the first user message."""
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    if supports_system:
+        return messages
+    if developer_role:
+        return F.transform(messages, lambda m: message(F.when(m["role"] == "system", "developer").otherwise(m["role"]), m["content"]))
+
+    def merged(s: Column) -> Column:
+        first = F.get(F.filter(F.transform(s["rest"], lambda m, i: F.when(m["role"] == "user", i)), lambda i: i.isNotNull()), F.lit(0))
+        head = F.concat(F.array_join(s["system"], "\n"), F.lit("\n\n"))
+        with_head = F.transform(s["rest"], lambda m, i: message(m["role"], F.when((i == first) & (F.size(s["system"]) > 0), F.concat(head, m["content"])).otherwise(m["content"])))
+        return with_head
+
+    system = F.transform(F.filter(messages, lambda m: m["role"] == "system"), lambda m: m["content"])
+    return let(F.struct(system.alias("system"), F.filter(messages, lambda m: m["role"] != "system").alias("rest")), merged)
+
+
+def reply(response: Column) -> Column:
+    """(content, reasoning) of the first choice of a chat completion in JSON."""
+    of = lambda name: F.get_json_object(response, f"$.choices[0].message.{name}")
+    return F.struct(F.coalesce(of("content"), F.lit("")).alias("content"), of("reasoning_content").alias("reasoning"))

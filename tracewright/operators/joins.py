@@ -82,3 +82,18 @@ def changed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Keys whose value differs, with both values; a missing side is null."""
     o, n = old.select(key, F.col(value).alias("old")), new.select(key, F.col(value).alias("new"))
     return o.join(n, key, "full").where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def checkpoints_with_episodes(checkpoints: DataFrame, episodes: DataFrame, most: int | None = None) -> DataFrame:
+    """checkpoints(path) with the episodes(path) of their iteration, the number at the end of both; at most so many, spread
+    evenly over the iterations."""
+    number = lambda df, name: df.select(F.col("path").alias(name), F.regexp_extract("path", r"(\d+)\D*$", 1).cast("long").alias("iteration"))
+    both = number(checkpoints, "checkpoint").join(number(episodes, "episodes"), "iteration")
+    if most is None:
+        return both
+    n = both.count()
+    if n <= most:
+        return both
+    keep = both.select("iteration", (F.row_number().over(W.orderBy("iteration")) - 1).alias("_i"))
+    keep = keep.where(F.col("_i").isin([int(i * (n / most)) for i in range(most)])).select("iteration")
+    return both.join(keep, "iteration", "left_semi")

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from .. import plugins
 from ..functions import maths, puzzles
 from ..functions import text as X
+from ..operators import diversity as D
+from ..operators import joins as J
 from ..operators import losses as L
 from ..operators import phases as P
 from ..operators import rewards as R
@@ -288,6 +290,70 @@ def t32_solvable_puzzles(spark, sf_dir):
     return o.join(known, "puzzle").select("o_orderkey", "solvable")
 
 
+@query("""WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+u AS (SELECT conv_id, min(r) FILTER (WHERE role = 'user') AS first, 'Be brief.' || coalesce(chr(10) || string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '') AS head FROM m GROUP BY conv_id)
+SELECT conv_id, md5(coalesce(string_agg(CASE WHEN r = first THEN 'user:' || head || chr(10) || chr(10) || text ELSE role || ':' || text END, '|' ORDER BY turn) FILTER (WHERE role <> 'system'), '')) AS merged,
+  md5('developer:Be brief.|' || string_agg(CASE role WHEN 'system' THEN 'developer' ELSE role END || ':' || text, '|' ORDER BY turn)) AS developer, 'a' || conv_id AS content, CASE WHEN conv_id % 2 = 0 THEN 'why' END AS reasoning FROM m JOIN u USING (conv_id) GROUP BY conv_id""")
+def t40_provider_messages(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content")))).alias("x"))
+    plain = F.transform("x", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    messages = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit("Be brief.").alias("content"))), plain)
+    shown = lambda m: F.md5(F.array_join(F.transform(m, lambda v: F.concat(v["role"], F.lit(":"), v["content"])), "|"))
+    said = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("a"), F.col("conv_id").cast("string")).alias("content"), F.when(F.col("conv_id") % 2 == 0, "why").alias("reasoning_content")).alias("message"))).alias("choices")))
+    out = c.select("conv_id", shown(X.adapted_messages(messages, False)).alias("merged"), shown(X.adapted_messages(messages, False, True)).alias("developer"), X.reply(said).alias("r"))
+    return out.select("conv_id", "merged", "developer", "r.*")
+
+
+# -- trees and components
+
+
+def _siblings(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).alias("depth"), F.floor(F.col("doc_id") / 6).alias("node"), "text")
+    return d.select("doc_id", (F.col("node") % 10).alias("tree_id"), "depth", "node", "text")
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id // 6 % 10 AS tree_id, doc_id % 7 AS depth, doc_id // 6 AS node, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS c FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL),
+p AS (SELECT a.tree_id, a.node, a.doc_id AS x, b.doc_id AS y, len(a.w) AS lx, len(b.w) AS ly FROM d a JOIN d b ON a.node = b.node AND a.doc_id < b.doc_id),
+m AS (SELECT p.tree_id, p.node, s.k, sum(least(s.c, t.c)) AS m FROM p JOIN g s ON s.doc_id = x JOIN g t ON t.doc_id = y AND t.k = s.k AND t.g = s.g GROUP BY ALL),
+q AS (SELECT tree_id, node, k, sum(greatest(lx - k + 1, 0)) AS n FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY ALL),
+r AS (SELECT q.tree_id, q.node, exp(avg(CASE WHEN m.m > 0 THEN ln(m.m / q.n) END)) AS gm, count(m.m) AS orders FROM q LEFT JOIN m ON m.tree_id = q.tree_id AND m.node = q.node AND m.k = q.k GROUP BY ALL),
+l AS (SELECT tree_id, node, sum(lx) AS a, sum(ly) AS b FROM p GROUP BY ALL)
+SELECT tree_id, node, round(CASE WHEN orders < 4 THEN 0.0 ELSE gm * CASE WHEN a > b THEN 1 ELSE exp(1 - b / a) END END, 6) AS bleu FROM r JOIN l USING (tree_id, node)""")
+def a23_sibling_bleu(spark, sf_dir):
+    return rounded(D.sibling_bleu(_siblings(spark, sf_dir), ["tree_id", "node"], "doc_id", "text").select("tree_id", "node", "bleu"), "bleu")
+
+
+@query("""WITH s AS (SELECT r_regionkey AS tree_id, n_nationkey % 3 AS depth, n_nationkey / 25.0 AS bleu FROM nation JOIN region ON n_regionkey = r_regionkey), e AS (SELECT tree_id, depth, sum(bleu) AS s, count(*) AS n FROM s GROUP BY ALL)
+SELECT tree_id, round(sum(s) / sum(n), 6) AS bleu, round(avg(s / n), 6) AS bleu_by_depth FROM e GROUP BY tree_id""")
+def g46_tree_diversity(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("tree_id"), (F.col("n_nationkey") % 3).alias("depth"), (F.col("n_nationkey") / 25).alias("bleu"))
+    return rounded(D.tree_diversity(n, "tree_id", "depth"), "bleu", "bleu_by_depth")
+
+
+@query()
+def m16_o11_state_confluence(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    s = e.select((F.col("vec_id") % 20).alias("response_id"), F.col("vec_id").alias("pos"), F.floor(F.col("vec_id") / 20 % 3).cast("int").alias("phase_id"), F.col("embedding").alias("state"))
+    return rounded(D.state_confluence(s, 8), "confluence")
+
+
+@query()
+def m17_denoised_attention(spark, sf_dir):
+    t = tokens(spark, sf_dir).select("response_id", "pos", "entropy", "nlp")
+    phase = F.floor(F.col("pos") / 20).cast("int")
+    cells = t.select("response_id", F.col("pos").alias("q"), F.col("pos").alias("k"), phase.alias("q_phase"), (phase % 2).alias("k_phase"), F.array(F.col("entropy") / 500, F.col("nlp") / 10, (F.col("pos") % 3) / 3).alias("heads"))
+    return rounded(D.denoised_attention(cells), "w")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS iteration, 'ckpt--iter_' || n_nationkey AS checkpoint, 'episodes__iter' || n_nationkey AS episodes FROM nation WHERE n_nationkey % 2 = 0")
+def j16_checkpoints_with_episodes(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"))
+    path = lambda head, df: df.select(F.concat(F.lit(head), "k").alias("path"))
+    out = J.checkpoints_with_episodes(path("ckpt--iter_", n), path("episodes__iter", n.where("k % 2 = 0")))
+    return out.select("iteration", "checkpoint", "episodes")
+
+
 # -- sources, sinks, sets
 
 
