@@ -266,48 +266,75 @@ def percentage_or_number(x: Column) -> Column:
 
 
 def _near(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= F.greatest(F.lit(1e-3), 1e-9 * F.greatest(F.abs(a), F.abs(b)))
+    larger = F.greatest(F.abs(a), F.abs(b))
+    return (a == b) | ((larger < float("inf")) & (F.abs(a - b) <= F.greatest(F.lit(1e-3), 1e-9 * larger)))
+
+
+_PAIRS = "array<struct<p: string, r: string>>"
+
+
+def _parts(s: Column) -> Column:
+    """The ways to take two answers apart into pairs: as tuples, as matrices, or by one side of an equation."""
+    pair = lambda x, y: F.struct(x.alias("p"), y.alias("r"))
+    same_size = lambda a, b: F.size(a) == F.size(b)
+    inside = lambda t: F.split(F.substring(t, F.lit(2), F.length(t) - 2), ",", -1)
+    framed, matrix = r"^[(\[].+[)\]]", r"^\\begin\{[pb]matrix\}(?s:.*)\\end\{[pb]matrix\}$"
+    lines = lambda t: F.transform(F.filter(F.transform(F.split(F.regexp_replace(t, r"^\\begin\{[pb]matrix\}|\\end\{[pb]matrix\}$", ""), r"\\\\", -1), strip), lambda v: v != ""), lambda v: F.split(v, "&", -1))
+
+    def of(x: Column) -> Column:
+        tuples = F.when(s["p"].rlike(framed) & s["r"].rlike(framed) & same_size(x["tp"], x["tr"]), F.zip_with(x["tp"], x["tr"], pair))
+        shape = same_size(x["mp"], x["mr"]) & F.forall(F.zip_with(x["mp"], x["mr"], same_size), lambda v: v)
+        matrices = F.when(s["p"].rlike(matrix) & s["r"].rlike(matrix) & shape, F.flatten(F.zip_with(x["mp"], x["mr"], lambda u, v: F.zip_with(u, v, pair))))
+        short = lambda v: (F.size(v) == 2) & (F.length(F.get(v, F.lit(0))) <= 2)
+        right = lambda v: F.get(v, F.lit(1))
+        sides = F.when(short(x["ep"]) & (F.size(x["er"]) == 1), F.array(pair(right(x["ep"]), s["r"]))).when(short(x["er"]) & (F.size(x["ep"]) == 1), F.array(pair(s["p"], right(x["er"]))))
+        return F.filter(F.array(tuples.cast(_PAIRS), matrices.cast(_PAIRS), sides.cast(_PAIRS)), lambda v: v.isNotNull())
+
+    split = {"t": inside, "m": lines, "e": _sides}
+    return let(F.struct(*[f(s[c]).alias(k + c) for k, f in split.items() for c in "pr"]), of)
+
+
+def _sides(t: Column) -> Column:
+    return F.transform(F.split(t, "=", -1), strip)
+
+
+def _same_equation(p: Column, r: Column) -> Column:
+    """Both one equation, with the same sides in either order."""
+
+    def of(x: Column) -> Column:
+        at = lambda v, k: F.get(v, F.lit(k))
+        same = lambda i, j: same_value(at(x["p"], 0), at(x["r"], i)) & same_value(at(x["p"], 1), at(x["r"], j))
+        return F.when((F.size(x["p"]) == 2) & (F.size(x["r"]) == 2), same(0, 1) | same(1, 0)).otherwise(False)
+
+    return let(F.struct(_sides(p).alias("p"), _sides(r).alias("r")), of)
 
 
 def listed_equal(prediction: Column, reference: Column, depth: int = 2) -> Column:
     """Same text, same number give or take a factor of 100, or equal part by part: tuples, matrices, equations."""
-    numbers = F.struct(percentage_or_number(prediction).alias("p"), percentage_or_number(reference).alias("r"))
 
     def pieces(s: Column) -> Column:
+        whole = same_value(s["p"], s["r"])
         if depth == 0:
-            return same_value(s["p"], s["r"])
-        deeper = lambda a, b: listed_equal(a, b, depth - 1)
-        every = lambda a, b, same: (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: same(x, y)), lambda v: v)
-        inside = lambda t: F.split(F.substring(t, F.lit(2), F.length(t) - 2), ",", -1)
-        framed = r"^[(\[].+[)\]]"
-        tuples = s["p"].rlike(framed) & s["r"].rlike(framed) & every(inside(s["p"]), inside(s["r"]), deeper)
-        matrix = r"^\\begin\{[pb]matrix\}(?s:.*)\\end\{[pb]matrix\}$"
-        lines = lambda t: F.filter(F.transform(F.split(F.regexp_replace(t, r"^\\begin\{[pb]matrix\}|\\end\{[pb]matrix\}$", ""), r"\\\\", -1), strip), lambda v: v != "")
-        rows = lambda a, b: every(F.split(a, "&", -1), F.split(b, "&", -1), deeper)
-        matrices = s["p"].rlike(matrix) & s["r"].rlike(matrix) & every(lines(s["p"]), lines(s["r"]), rows)
-        sides = lambda t: F.transform(F.split(t, "=", -1), strip)
-        p, r = sides(s["p"]), sides(s["r"])
-        at = lambda v, k: F.get(v, F.lit(k))
-        short = lambda v: (F.size(v) == 2) & (F.length(at(v, 0)) <= 2)
-        equations = (
-            F.when((F.size(p) == 2) & (F.size(r) == 2), every(p, r, same_value) | every(F.reverse(p), r, same_value))
-            .when(short(p) & (F.size(r) == 1), deeper(at(p, 1), s["r"]))
-            .when(short(r) & (F.size(p) == 1), deeper(s["p"], at(r, 1)))
-            .otherwise(False)
-        )
-        return tuples | matrices | equations | same_value(s["p"], s["r"])
+            return whole
+        by_part = F.exists(_parts(s), lambda way: F.forall(way, lambda x: listed_equal(x["p"], x["r"], depth - 1)))
+        return whole | _same_equation(s["p"], s["r"]) | by_part
 
     def of(v: Column) -> Column:
-        close = _near(v["r"], v["p"]) | _near(v["r"] / 100, v["p"]) | _near(v["r"] * 100, v["p"])
-        text = F.struct(strip(prediction).alias("p"), strip(reference).alias("r"))
-        return F.when(v["p"].isNotNull() & v["r"].isNotNull(), close).when(F.length(prediction) == 0, False).otherwise(let(text, pieces))
+        factors = F.transform(F.array(F.lit(1.0), F.lit(0.01), F.lit(100.0)), lambda k: _near(v["r"] * k, v["p"]))
+        close = F.exists(factors, lambda b: b)
+        text = F.struct(strip(v["a"]).alias("p"), strip(v["b"]).alias("r"))
+        return F.when(v["a"] == v["b"], True).when(v["p"].isNotNull() & v["r"].isNotNull(), close).when(F.length(v["a"]) == 0, False).otherwise(let(text, pieces))
 
-    return F.coalesce((prediction == reference) | let(numbers, of), F.lit(False))
+    numbers = F.struct(prediction.alias("a"), reference.alias("b"), percentage_or_number(prediction).alias("p"), percentage_or_number(reference).alias("r"))
+    return F.coalesce(let(numbers, of), F.lit(False))
 
 
 def _matched(predictions: Column, answers: Column, same) -> Column:
     """Every prediction fits an answer and every answer a prediction."""
-    return F.forall(predictions, lambda p: F.exists(answers, lambda a: same(p, a))) & F.forall(answers, lambda a: F.exists(predictions, lambda p: same(p, a)))
+    fits = F.transform(predictions, lambda p: F.transform(answers, lambda a: same(p, a)))
+    rows = lambda m: F.forall(m, lambda row: F.exists(row, lambda v: v))
+    columns = lambda m: F.forall(F.transform(answers, lambda _, j: F.exists(m, lambda row: F.get(row, j))), lambda v: v)
+    return let(fits, lambda m: rows(m) & columns(m))
 
 
 def listed_correct(prediction: Column, answer: Column, precision: float = 1e-3) -> Column:
@@ -317,8 +344,12 @@ def listed_correct(prediction: Column, answer: Column, precision: float = 1e-3)
         bare = lambda t: decimal(F.replace(t, F.lit(","), F.lit("")))
         return (F.abs(bare(p) - bare(a)) < precision).eqNullSafe(True) | ((a != "") & (p == a)) | listed_equal(p, a)
 
-    union = lambda t: F.split(t, r"\\cup", -1)
-    return F.when(prediction.contains("\\cup") & answer.contains("\\cup"), _matched(union(prediction), union(answer), single)).otherwise(single(prediction, answer))
+    def of(s: Column) -> Column:
+        both = s["p"].contains("\\cup") & s["a"].contains("\\cup")
+        parts = lambda t: F.when(both, F.split(t, r"\\cup", -1)).otherwise(F.array(t))
+        return let(F.struct(parts(s["p"]).alias("p"), parts(s["a"]).alias("a")), lambda x: _matched(x["p"], x["a"], single))
+
+    return let(F.struct(prediction.alias("p"), answer.alias("a")), of)
 
 
 def listed_grade(predictions: Column, answers: Column) -> Column:
