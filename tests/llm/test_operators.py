@@ -685,3 +685,30 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path, stage):
         assert set(ids) == {i for i, _ in rows} - gone, name
     if stage == 3:
         assert out.where("text like '%me@example.com%'").count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, stage):
+    """Nulls, long and empty texts, repeated rows over partitions, clashing names, and no rows at all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(16)
+    words = [f"w{k}" for k in range(400)]
+    rows = [r for r in ODD for _ in range(2)] + [(100 + k // 2, " ".join(random.Random(k // 2).choice(words) for _ in range(90))) for k in range(40)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 7), "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_row", "_hits", "kept", "score", "n", "mark", "_place", "grams")})
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("src1"), "n_chars": F.length("text")})
+    spark.createDataFrame([(100 + k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    function = corpus_pipeline.STAGES[stage][1]
+    out = function(spark, docs, str(tmp_path))
+    got = Counter((r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect())
+    all_ = Counter(rows)
+    if stage == 0:
+        assert got == Counter({k: v for k, v in all_.items() if k[0] and k[0] >= 100})
+    elif stage in (2, 3):
+        assert got == all_
+    elif stage == 1:
+        assert set(got) == set(all_)
+    if stage < 4:
+        assert out.columns == docs.columns and all(r["grams"] == "grams" and r["_row"] == "_row" for r in out.select("grams", "_row").distinct().collect())
+    assert function(spark, docs.where("false"), str(tmp_path)).count() == 0

@@ -23,7 +23,9 @@ arithmetic is on integers, all expressions are Spark's own.
 Defined cases: null languages and sources are leaves of their own, under the
 default weights; a null text has no words, such documents cost nothing; rows
 with the same doc_id in a leaf stand together: all or none are in the prefix; a
-budget above the capacity takes everything; an empty corpus gives no rows.
+budget above the capacity takes everything; an empty corpus gives no rows; of
+equal ranks none is before the other; columns named ``domain`` or ``epoch`` are
+replaced, all others kept; a text of any length counts whole.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ task holds one range and one member. Any file system that pyarrow.fs knows will
 
 Defined cases: a null html is an empty payload, a null url has no target, a null
 page_id is kept as null; of rows with the same payload and the same largest
-page_id each is a response; empty tables give no files and no rows.
+page_id each is a response; empty tables give no files and no rows; repeated rows
+each give a record; other columns are ignored; a payload of any length is one
+record.
 """
 
 from __future__ import annotations
