@@ -3,6 +3,18 @@
 Quality rules, one document of each near-duplicate group, benchmark
 decontamination, surrogates for personal data, and mixing to target weights.
 Every stage but the last returns the columns of the documents.
+
+Defined cases, for every stage: an empty table of documents gives an empty one;
+repeated rows are treated alike and go on as often as they came, but for near
+duplicates, where rows that share a doc_id are one document; other columns go on
+as they are, whatever their names (mixing replaces ``domain`` and ``epoch``);
+texts of any length are read whole. A null or empty text goes in the first stage,
+and passes each of the others: it is no duplicate, holds no test item and no
+personal data, and costs no words. A null doc_id is not trusted, no duplicate, and
+otherwise as good as any. Ties: the smallest doc_id of a group stays; the others
+are stated in their operators.
+
+This file needs tracewright.llm and is deleted with it; __spark_entry__.py guards.
 """
 
 from __future__ import annotations
