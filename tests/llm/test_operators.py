@@ -693,7 +693,8 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path, stage):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(16)
     words = [f"w{k}" for k in range(400)]
-    rows = [r for r in ODD for _ in range(2)] + [(100 + k // 2, " ".join(random.Random(k // 2).choice(words) for _ in range(90))) for k in range(40)]
+    own = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(20)]
+    rows = [r for r in ODD for _ in range(2)] + [(100 + k // 2, own[k // 2]) for k in range(40)]
     rng.shuffle(rows)
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 7), "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_row", "_hits", "kept", "score", "n", "mark", "_place", "grams")})
     docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("src1"), "n_chars": F.length("text")})
