@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_wrappers, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity, warc
+from . import decontam, html_wrappers, mixing, ngram_join, pii, quality, secrets, substring_dedup, token_records, toxicity, warc
 from .shared import read_table
 
 
@@ -46,6 +46,10 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op13_token_records(spark, sf_dir):
+    return token_records.write_and_read(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_html_wrapper_induction": op2_html_wrapper_induction,
@@ -57,6 +61,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_token_records": op13_token_records,
 }
 
 ORACLE_SQL = {
