@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_wrappers, mixing, ngram_join, pii, quality, secrets, substring_dedup, token_records, toxicity, warc
+from . import decontam, html_wrappers, mixing, ngram_join, pii, quality, secrets, substring_dedup, token_records, toxicity, warc, whitening
 from .shared import read_table
 
 
@@ -46,6 +46,10 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.digest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_records(spark, sf_dir):
     return token_records.write_and_read(read_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op13_token_records": op13_token_records,
 }
 
