@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_wrappers, mixing, ngram_join, pii, quality, secrets, substring_dedup, token_records, toxicity, warc, whitening
+from . import decontam, html_wrappers, mixing, ngram_join, periodic_runs, pii, quality, secrets, substring_dedup, token_records, toxicity, warc, whitening
 from .shared import read_table
 
 
@@ -50,6 +50,10 @@ def op11_embedding_whitening(spark, sf_dir):
     return whitening.digest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op13_token_records(spark, sf_dir):
     return token_records.write_and_read(read_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_token_records": op13_token_records,
 }
 
