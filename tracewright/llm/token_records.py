@@ -51,7 +51,7 @@ from .shared import n_partitions, shared_folder
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces of text that a worker keeps encoded, and the longest of them in characters.
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 1_200_000
 KNOWN_CHARS = 64
 #: Characters of text encoded, and bytes of records read, at a time.
 CHUNK_CHARS = 1 << 20
