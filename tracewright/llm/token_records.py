@@ -177,12 +177,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]
-        new: set[str] = set()
+        met: set[str] = set()
         for pieces in cut:
-            new.update(pieces)
-        new.difference_update(self.known)
-        order = list(new)
-        for piece, found in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
+            met.update(pieces)
+        new = [p for p in met if p not in self.known]
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[piece] = self._bytes(found.ids)
         out = [b"".join(map(self.known.__getitem__, pieces)) + self.end for pieces in cut]
         for piece in new:
