@@ -6,8 +6,9 @@ tuples, matrices, equations). Rewriting is a table of steps, so a form is data;
 what depends on structure (braces, tuples, lists) is an array expression.
 
 No computer algebra: where the original would simplify symbolically, two sides
-are equal if they are the same text or have the same value, as numbers or
-fractions. LaTeX becomes text for the commands of ``LATEX_TEXT`` only.
+are equal if they are the same text, have the same value, or agree as expressions
+at seeded points (module ``expressions``). LaTeX becomes text for the commands of
+``LATEX_TEXT`` only in the process form.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import same_expression
 from .text import let, strip
 
 #: A step rewrites all occurrences: plain text (old, new), or a pattern (old, new, "re").
@@ -179,7 +181,9 @@ def process_grade(given: Column, gold: Column) -> Column:
 
     def element(p: Column) -> Column:
         a, b = p["gold"], p["given"]
-        return F.when(is_fraction(a) & is_fraction(b), a == b).when(is_whole(a) != is_whole(b), False).otherwise(same_value(a, b))
+        allowed = may_be_evaluated(F.concat(F.lit("("), a, F.lit(")-("), b, F.lit(")")))
+        same = F.when(same_value(a, b), True).when(allowed, same_expression(a, b)).otherwise(False)
+        return F.when(is_fraction(a) & is_fraction(b), a == b).when(is_whole(a) != is_whole(b), False).otherwise(same)
 
     def parts(s: Column) -> Column:
         ends = lambda f: f(s["gold"]) == f(s["given"])
@@ -313,11 +317,11 @@ def listed_equal(prediction: Column, reference: Column, depth: int = 2) -> Colum
     """Same text, same number give or take a factor of 100, or equal part by part: tuples, matrices, equations."""
 
     def pieces(s: Column) -> Column:
-        whole = same_value(s["p"], s["r"])
+        whole, symbolic = same_value(s["p"], s["r"]), same_expression(s["p"], s["r"], near=1e-3)
         if depth == 0:
-            return whole
+            return F.when(whole, True).otherwise(symbolic)
         by_part = F.exists(_parts(s), lambda way: F.forall(way, lambda x: listed_equal(x["p"], x["r"], depth - 1)))
-        return whole | _same_equation(s["p"], s["r"]) | by_part
+        return F.when(whole, True).when(_same_equation(s["p"], s["r"]), True).when(by_part, True).otherwise(symbolic)
 
     def of(v: Column) -> Column:
         factors = F.transform(F.array(F.lit(1.0), F.lit(0.01), F.lit(100.0)), lambda k: _near(v["r"] * k, v["p"]))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import graders as G
 from ..functions import text as X
+from ..functions.expressions import same_expression
+from ..operators.grading import graded
 from .rollouts import table
 
 QUERIES, SQL = {}, {}
@@ -133,6 +137,7 @@ def t23_t24_answer_helpers(spark, sf_dir):
 PROCESS = (
     ("%n", "%n", True), ("\\frac{%n}{2}", "%n/2", True), ("%n.0", "%n", True), ("1,500", "1500", True), ("2/4", "1/2", False), ("0.5", "\\frac12", True), ("(1,%n)", "(1, %n)", True), ("(1,%n)", "[1,%n)", False),
     ("%n cm", "%n", True), ("%n1", "%n", False), ("0.50", "1/2", True), ("", "%n", False), ("(1/2,3)", "(2/4,3)", False), ("x=%n", "%n", True), ("\\text{Yes}", "yes", True), ("1.0,2", "1,2", False), ("7 1/2", "7+1/2", True),
+    ("x(x+1)", "x^2+x", True), ("\\sqrt{8}", "2\\sqrt{2}", True), ("%n x+1", "1+%n x", True), ("x^2-1", "(x-1)(x+2)", False), ("x+y+z", "z+y+x", False), ("(2x+x,%n)", "(3x,%n)", True), ("(x(x-1),%n)", "(x^2-x,%n)", False),
 )
 
 
@@ -143,7 +148,7 @@ def _verdicts(rows) -> str:
 @query(_verdicts(PROCESS))
 def t21_process_grade(spark, sf_dir):
     given, gold = (_filled(tuple(r[k] for r in PROCESS)) for k in (0, 1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", G.process_grade(given, gold).alias("verdict"))
+    return graded(table(spark, sf_dir, "orders").select("o_orderkey", given.alias("given"), gold.alias("gold")), "given", "gold", G.process_grade).select("o_orderkey", "verdict")
 
 
 #: Prediction, reference, verdict of the list grade; a bar parts several answers.
@@ -151,13 +156,58 @@ LISTED = (
     ("%n", "%n", True), ("50%", "0.5", True), ("1%n000", "%n", False), ("(1,%n)", "(1.0, %n)", True), ("\\begin{pmatrix}1&%n\\\\3&4\\end{pmatrix}", "\\begin{bmatrix}1.0&%n\\\\3&4.0\\end{bmatrix}", True),
     ("x=%n", "%n", True), ("%n", "y = %n", True), ("y=2", "2=y", True), ("1|2", "2|1", True), ("1|2|3", "2|3", True), ("1|2", "1|3", False), ("[0,1]\\cup[2,%n]", "[2,%n]\\cup[0,1]", True), ("1/4", "0.25", True), ("abc", "abd", False),
     ("2|2|5", "5|2|5", True), ("3.0004", "3", True), ("(1,2,3)", "(1,2)", False), ("12%", "12", True),
+    ("\\frac{x^2-1}{x-1}", "x+1", True), ("\\sqrt{8}", "2\\sqrt{2}", True), ("\\frac{\\pi}{4}", "0.7853", True), ("\\frac{\\pi}{4}", "0.79", False), ("x+y+z", "z+y+x", True), ("(x(x-1),%n)", "(x^2-x,%n)", True), ("y=2x", "2x=y", True),
+    ("\\sin^2 x+\\cos^2 x", "1", True), ("x^2", "x^3", False),
 )
 
 
 @query(_verdicts(LISTED))
 def t27_listed_grade(spark, sf_dir):
     p, a = (F.split(_filled(tuple(r[k] for r in LISTED)), r"\|") for k in (0, 1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", G.listed_grade(p, a).alias("verdict"))
+    return graded(table(spark, sf_dir, "orders").select("o_orderkey", p.alias("given"), a.alias("gold")), "given", "gold", G.listed_grade).select("o_orderkey", "verdict")
+
+
+#: Two sides of one expression with numbers a, b and e (0 or 1), and both in DuckDB as functions of x: they are the same where e is 0, and where e makes no difference.
+EXPRESSIONS = (
+    ("(x+{a})(x-{b})", "x^2+{a-b+e}x-{a*b}", "(x+a)*(x-b)", "x*x+(a-b+e)*x-a*b"), ("\\frac{x^2-{a*a}}{x-{a}}", "x+{a+e}", "(x*x-a*a)/(x-a)", "x+a+e"),
+    ("\\sqrt{{a*a*b}}", "{a}\\sqrt{{b+e}}", "sqrt(a*a*b)", "a*sqrt(b+e)"), ("({a}/{b})x", "{a*2+e}x/{b*2}", "a/b*x", "(a*2+e)*x/(b*2)"),
+    ("\\sin(x+{a})^2+\\cos^2(x+{a})", "{e+1}", "sin(x+a)**2+cos(x+a)**2", "e+1"), ("{a}.25x", "{a*4+1+e}x/4", "(a+0.25)*x", "(a*4+1+e)*x/4"),
+    ("(x+{b})^3-(x-{b})^3", "{b*6}x^2+{b*b*b*2+e}", "(x+b)**3-(x-b)**3", "b*6*x*x+b*b*b*2+e"), ("\\ln(2^{{a}})/\\ln(2)", "{a}+0\\cdot x+{e}", "ln(2**a)/ln(2)", "a+e"),
+    ("\\frac{1}{\\frac{1}{x}+\\frac{{a}}{{b}}}", "\\frac{{b}x}{{b}+{a+e}x}", "1/(1/x+a/b)", "b*x/(b+(a+e)*x)"), ("-x^2-{a}", "-(x^2+{a+e})", "-(x*x)-a", "-(x*x+a+e)"),
+    ("2^{x+{e}}", "2\\cdot2^x", "2**(x+e)", "2*2**x"), ("{a}!", "{a}({a+e}-1)!", "gamma(a+1.0)", "a*gamma(a+e+0.0)"),
+)
+
+
+def _side(text: str) -> Column:
+    """A side with its numbers filled in."""
+    pieces = re.split(r"\{([abe*+0-9-]*[abe][abe*+0-9-]*)\}", text)
+    return F.concat(*[F.expr(f"CAST({p} AS STRING)") if k % 2 else F.lit(p) for k, p in enumerate(pieces)])
+
+
+def _picked(sides: list[Column]) -> Column:
+    out = F.when(F.col("t") == 0, sides[0])
+    for k, side in enumerate(sides[1:], 1):
+        out = out.when(F.col("t") == k, side)
+    return out
+
+
+def _at(form: str, x: str) -> str:
+    return re.sub(r"\bx\b", x, form)
+
+
+def _agreed(f: str, g: str) -> str:
+    return " AND ".join(f"abs(({_at(f, x)}) - ({_at(g, x)})) <= 1e-9 * greatest(1, abs({_at(f, x)}))" for x in ("0.37e0", "1.93e0"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % {len(EXPRESSIONS)} AS t, CAST(1 + o_orderkey % 9 AS DOUBLE) AS a, CAST(1 + o_custkey % 7 AS DOUBLE) AS b, CAST(CASE WHEN (o_orderkey + o_custkey) % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS e FROM orders)
+SELECT o_orderkey, CASE {" ".join(f"WHEN t = {k} THEN {_agreed(f, g)}" for k, (_, _, f, g) in enumerate(EXPRESSIONS))} END AS verdict FROM o""")
+def t21_t27_same_expressions(spark, sf_dir):
+    """Pairs of expressions graded once each."""
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", f"o_orderkey % {len(EXPRESSIONS)} AS t", "1 + o_orderkey % 9 AS a", "1 + o_custkey % 7 AS b", "CASE WHEN (o_orderkey + o_custkey) % 3 = 0 THEN 1 ELSE 0 END AS e"
+    )
+    sides = (_picked([_side(r[k]) for r in EXPRESSIONS]).alias(n) for k, n in enumerate(("given", "gold")))
+    return graded(o.select("o_orderkey", *sides), "given", "gold", same_expression).select("o_orderkey", "verdict")
 
 
 #: Text, its number, its LaTeX normal form, its right side.
