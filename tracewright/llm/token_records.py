@@ -157,6 +157,11 @@ class Encoder:
             vocabulary = public_tokenizers.path(vocabulary)
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            # every piece comes once: the library's own table of words only costs time
+            model._resize_cache(0)
+            self.tokenizer.model = model
         # cuts are sound for this pattern of byte-level vocabularies alone
         parts = json.loads(self.tokenizer.to_str())
         rule = parts["pre_tokenizer"] or {}
