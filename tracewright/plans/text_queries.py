@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import puzzles
+from ..functions import steps as S
 from ..functions import text as X
 from .rollouts import table
 
@@ -145,3 +146,25 @@ def t35_sentence_spans(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("n"), spans.alias("s"))
     covered = F.aggregate("s", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     return d.select("doc_id", F.size("s").alias("n_spans"), (covered == F.col("n")).alias("whole"))
+
+
+_LINES = "CAST(length(t) - length(replace(t, chr(10), '')) AS INTEGER)"
+_INITIALS = "regexp_matches(s[i], '(^|[^\\pL\\pN_])[A-Za-z]$') OR regexp_matches(s[i], '[ \\t\\n\\x0B\\f\\r][A-Za-z][A-Za-z]$')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, 'Let _1. ' || regexp_replace(text, '[$\\\\\\[]', '', 'g') || ' So _2 ends.' AS t FROM documents), b AS (SELECT doc_id, t, string_split(t, '.') AS s FROM a)
+SELECT doc_id, CAST({_LINES} + len(list_filter(generate_series(1, len(s) - 1), lambda i: regexp_matches(s[i + 1], '^[ \\t\\n\\x0B\\f\\r]+[A-Z]') AND NOT starts_with(s[i + 1], chr(10)) AND NOT ({_INITIALS}))) AS INTEGER) AS n_breaks FROM b""")
+def t29_breaks_outside_formulas(spark, sf_dir):
+    """Sentence ends and line breaks of texts with a formula before and after, whose own stops and lines do not count."""
+    plain = F.regexp_replace("text", r"[$\\\[]", "")
+    x = F.concat(F.lit("Let $x. Y\nz$. "), plain, F.lit(" So \\[a.\nB.\\] ends."))
+    return table(spark, sf_dir, "documents").select("doc_id", S.breaks(x).alias("n_breaks"))
+
+
+@query()
+def t29_t30_solution_pieces(spark, sf_dir):
+    """Texts cut into steps: how many, the longest, and whether they give the text back."""
+    pieces = S.solution_pieces(F.col("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.alias("pieces"))
+    longest = F.array_max(F.transform("pieces", F.length))
+    return d.select("doc_id", F.size("pieces").alias("n_pieces"), longest.alias("longest"), (F.array_join("pieces", "") == F.col("text")).alias("whole"))
