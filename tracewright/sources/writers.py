@@ -81,3 +81,29 @@ def output_name(name: str, levels: set[str]) -> str:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, compression="gzip")
+
+
+def write_npz(df: DataFrame, folder: str, rows_per_file: int = 50_000) -> None:
+    """Numeric columns, and columns of equally long numeric arrays, as npz files of up to rows_per_file rows, one array a column; rows with a null are left out."""
+    import io
+
+    import numpy as np
+
+    from .custom import _at
+
+    def store(batches):
+        system, path = _at(folder)
+        system.create_dir(path, recursive=True)
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows_per_file):
+                part = batch.slice(k, rows_per_file)
+                arrays = {name: np.array(part.column(name).to_pylist()) for name in part.schema.names}
+                buffer = io.BytesIO()
+                np.savez(buffer, **arrays)
+                name = uuid.uuid5(uuid.NAMESPACE_OID, buffer.getvalue()[:1024].hex() + str(len(buffer.getvalue()))).hex
+                with system.open_output_stream(f"{path}/.{name}") as file:
+                    file.write(buffer.getvalue())
+                system.move(f"{path}/.{name}", f"{path}/part-{name}.npz")
+        return iter(())
+
+    df.dropna().mapInArrow(store, "done int").write.format("noop").mode("overwrite").save()

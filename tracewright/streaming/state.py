@@ -38,23 +38,16 @@ def sticky_step(questions: DataFrame, results: DataFrame, threshold: float, give
     return out.withColumn("status", status)
 
 
-def sticky_batch(questions: DataFrame, carried: DataFrame, n: int, seed: int) -> DataFrame:
-    """The next batch of n open questions: unmet ones of the last batch first, then others by hash."""
-    open_ = questions.where("status = 'open'").select("question_id")
-    marked = open_.join(carried.select("question_id").distinct().withColumn("again", F.lit(1)), "question_id", "left")
-    return marked.orderBy(F.coalesce("again", F.lit(0)).desc(), _hashed("question_id", seed=seed), "question_id").limit(n).select("question_id")
-
-
 def moments(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """(n, mean, m2) of a column, by keys if there are any: states that merge."""
     return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("m2"))
 
 
 def merged_moments(states: DataFrame) -> DataFrame:
-    """One state from several, in one aggregation."""
-    total, weighted = F.sum("n"), F.sum(F.col("n") * F.col("mean"))
-    spread = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")) - weighted * weighted / total
-    return states.agg(total.alias("n"), (weighted / total).alias("mean"), spread.alias("m2"))
+    """One state from several: deviations from the common mean are summed, so large means do not cancel."""
+    common = states.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean")).scalar()
+    off = F.col("mean") - F.col("_mean")
+    return states.withColumn("_mean", common).agg(F.sum("n").alias("n"), F.max("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"))
 
 
 def resampled_until_sure(rollouts: DataFrame, widest: float, least: int = 2) -> DataFrame:
