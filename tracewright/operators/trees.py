@@ -1,7 +1,10 @@
 """Reasoning trees as node tables: folds, paths, edges and path transformations.
 
 A node table has tree_id, node_id, parent_id (null at the root), depth and what
-the operator needs. Trees are shallow: a fold is one aggregation a depth.
+the operator needs. Given the deepest level, an operator is one plan, which suits
+shallow trees; without it levels are counted, and each is computed once from the
+one before and written, so work grows with the nodes at any depth. Nested trees
+come in through module ``nested``.
 """
 
 from __future__ import annotations
@@ -14,11 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.maths import best_of_k, importance_weight
+from ..sources.writers import scratch
 
 
-def fold_means(nodes: DataFrame, leaf_value: Column, deepest: int) -> DataFrame:
+def _levels(nodes: DataFrame, deepest: int | None) -> tuple[DataFrame, int, Callable[[DataFrame], DataFrame]]:
+    """nodes, their deepest level, and what to do with each level: nothing, or write it and read it back."""
+    if deepest is not None:
+        return nodes, deepest, lambda level: level
+    spark, folder = nodes.sparkSession, scratch(nodes.sparkSession, "levels")
+    nodes.write.partitionBy("depth").parquet(f"{folder}/nodes")
+    back = spark.read.schema(nodes.schema).parquet(f"{folder}/nodes").select(*nodes.columns)
+    made: list[str] = []
+
+    def stored(level: DataFrame) -> DataFrame:
+        made.append(f"{folder}/{len(made)}")
+        level.write.parquet(made[-1])
+        return spark.read.schema(level.schema).parquet(made[-1])
+
+    return back, back.agg(F.max("depth")).first()[0] or 0, stored
+
+
+def fold_means(nodes: DataFrame, leaf_value: Column, deepest: int | None = None) -> DataFrame:
     """nodes with value and value_std: leaves have leaf_value (0 where null), others the mean and population deviation
     of their children's values, a mean of means."""
+    nodes, deepest, stored = _levels(nodes, deepest)
     levels: list[DataFrame] = []
     for depth in range(deepest, -1, -1):
         level = nodes.where(F.col("depth") == depth)
@@ -27,7 +49,7 @@ def fold_means(nodes: DataFrame, leaf_value: Column, deepest: int) -> DataFrame:
         else:
             below = levels[-1].groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.avg("value").alias("_v"), F.stddev_pop("value").alias("_s"))
             out = level.join(below, ["tree_id", "node_id"], "left").select(*nodes.columns, F.coalesce("_v", leaf_value, F.lit(0.0)).alias("value"), F.coalesce("_s", F.lit(0.0)).alias("value_std"))
-        levels.append(out)
+        levels.append(stored(out))
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -43,17 +65,20 @@ def prover_edges(nodes: DataFrame, k: int = 4, drop_zero: bool = True) -> DataFr
     return out.where("advantage + prover_advantage <> 0") if drop_zero else out
 
 
-def paths(nodes: DataFrame, deepest: int, fields: list[str]) -> DataFrame:
+def paths(nodes: DataFrame, deepest: int | None, fields: list[str]) -> DataFrame:
     """(tree_id, leaf_id, chain) from root to leaf: chain is an array of structs of fields, by depth."""
+    nodes, deepest, stored = _levels(nodes, deepest)
     item = F.struct(*fields)
-    at = nodes.where("parent_id is null").select("tree_id", "node_id", F.array(item).alias("chain"))
+    at = stored(nodes.where("parent_id is null").select("tree_id", "node_id", F.array(item).alias("chain")))
     has_child = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
     out = None
-    for _ in range(deepest + 1):
+    for depth in range(deepest + 1):
         leaves = at.join(has_child, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "chain")
         out = leaves if out is None else out.unionByName(leaves)
-        child = nodes.select("tree_id", F.col("parent_id").alias("p"), F.col("node_id").alias("c"), item.alias("item"))
-        at = at.join(child, (at.tree_id == child.tree_id) & (at.node_id == child.p)).select(at.tree_id, F.col("c").alias("node_id"), F.concat("chain", F.array("item")).alias("chain"))
+        if depth == deepest:
+            break
+        child = nodes.where(F.col("depth") == depth + 1).select("tree_id", F.col("parent_id").alias("p"), F.col("node_id").alias("c"), item.alias("item"))
+        at = stored(at.join(child, (at.tree_id == child.tree_id) & (at.node_id == child.p)).select(at.tree_id, F.col("c").alias("node_id"), F.concat("chain", F.array("item")).alias("chain")))
     return out
 
 
@@ -127,14 +152,15 @@ def random_paths(leaves: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return leaves.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def preorder(nodes: DataFrame, deepest: int, separator: str = "/") -> DataFrame:
+def preorder(nodes: DataFrame, deepest: int | None = None, separator: str = "/") -> DataFrame:
     """nodes with path, the ids from the root on: ordered by tree_id and path they come parents first, depth first."""
+    nodes, deepest, stored = _levels(nodes, deepest)
     level = nodes.where("parent_id is null").withColumn("path", F.col("node_id").cast("string"))
     out = level
-    for _ in range(deepest):
+    for depth in range(1, deepest + 1):
         above = level.select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_above"))
-        level = nodes.where("parent_id is not null").join(above, ["tree_id", "parent_id"])
-        level = level.select(*[F.col(c) for c in nodes.columns], F.concat_ws(separator, "_above", F.col("node_id").cast("string")).alias("path"))
+        level = nodes.where(F.col("depth") == depth).join(above, ["tree_id", "parent_id"])
+        level = stored(level.select(*[F.col(c) for c in nodes.columns], F.concat_ws(separator, "_above", F.col("node_id").cast("string")).alias("path")))
         out = out.unionByName(level)
     return out
 

@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators import diversity as D
 from ..operators import joins as J
 from ..operators import losses as L
+from ..operators import nested as N
 from ..operators import phases as P
 from ..operators import rewards as R
 from ..operators import trees as T
@@ -237,10 +238,25 @@ def j5_phase_values_on_tokens(spark, sf_dir):
     return rounded(t.join(a, ["response_id", "phase_id"]).select("response_id", "pos", F.col("v").alias("token_advantage")), "token_advantage")
 
 
-@query(f"WITH {NODES} SELECT tree_id, node_id, depth, CASE depth WHEN 0 THEN node_id WHEN 1 THEN parent_id || '/' || node_id END AS path FROM nodes WHERE depth < 2")
+@query(f"""WITH {NODES} SELECT a.tree_id, a.node_id, a.depth, concat_ws('/', d.node_id, c.node_id, b.node_id, a.node_id) AS path FROM nodes a LEFT JOIN nodes b ON b.tree_id = a.tree_id AND b.node_id = a.parent_id
+LEFT JOIN nodes c ON c.tree_id = b.tree_id AND c.node_id = b.parent_id LEFT JOIN nodes d ON d.tree_id = c.tree_id AND d.node_id = c.parent_id""")
 def a3_flattened_tree(spark, sf_dir):
-    out = T.preorder(tree_nodes(spark, sf_dir).where("depth < 2"), 1)
-    return out.select("tree_id", "node_id", "depth", "path")
+    return T.preorder(tree_nodes(spark, sf_dir)).select("tree_id", "node_id", "depth", "path")
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_partkey % 9 AS INTEGER) AS d, p_size / 64.0::DOUBLE AS a, CAST(p_partkey % 2 AS DOUBLE) AS c FROM part),
+n AS (SELECT *, unnest(range(0, 2 * d + 1)) AS node FROM p), v AS (SELECT *, node % 2 = 0 AS mid, node // 2 AS l FROM n)
+SELECT p_partkey, node, CASE WHEN node = 0 THEN -1 WHEN mid THEN node - 2 ELSE node - 1 END AS parent, CASE WHEN mid THEN 2 * d ELSE node END AS last, CAST(CASE WHEN mid THEN l ELSE l + 1 END AS INTEGER) AS depth,
+  CASE WHEN mid THEN a + (c - a) * pow(0.5, d - l) ELSE a END AS value, CASE WHEN mid AND l < d THEN abs(a - (a + (c - a) * pow(0.5, d - l - 1))) / 2 ELSE 0.0 END AS value_std FROM v""")
+def a3_j9_nested_trees(spark, sf_dir):
+    """A nested tree of a depth of its own for each part, flattened in pre-order and folded."""
+    d, a = (F.col("p_partkey") % 9).cast("int"), (F.col("p_size") / 64).cast("string")
+    leaf = lambda x: F.concat(F.lit('{"score": '), x, F.lit(', "children": []}'))
+    opened = F.concat(F.lit('{"children": ['), leaf(a), F.lit(", "))
+    tree = F.concat(F.repeat(opened, d), leaf((F.col("p_partkey") % 2).cast("string")), F.repeat(F.lit("]}"), d))
+    nodes = N.flattened(table(spark, sf_dir, "part").select("p_partkey", tree.alias("tree")), "p_partkey", "tree")
+    out = N.folded(nodes, "p_partkey", F.get_json_object("fields", "$.score").cast("double"))
+    return out.select("p_partkey", "node", F.coalesce("parent", F.lit(-1)).alias("parent"), "last", "depth", "value", "value_std")
 
 
 @query(f"""WITH {TOKENS}, p AS (SELECT response_id, pos // 20 AS step, string_agg(token, ' ' ORDER BY pos) AS text FROM tok GROUP BY ALL)
