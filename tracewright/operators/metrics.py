@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.maths import pass_at_k
+from .ranks import concordant
 
 KS = (1, 2, 4, 8, 16, 32, 64)
 
@@ -90,12 +91,15 @@ def welch(rows: DataFrame, label: str, value: str) -> DataFrame:
     )
 
 
-def ranking_accuracy(rows: DataFrame, keys: list[str], item: str, truth: str, predicted: str) -> DataFrame:
-    """Share of pairs of a key's items that both columns order alike; pairs stay within a key."""
-    a, b = rows.alias("a"), rows.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col(f"a.{item}") < F.col(f"b.{item}")]
-    agree = (F.col(f"a.{truth}") - F.col(f"b.{truth}")) * (F.col(f"a.{predicted}") - F.col(f"b.{predicted}")) > 0
-    return a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.count("*").alias("pairs"), F.avg(agree.cast("double")).alias("accuracy"))
+def ranking_accuracy(rows: DataFrame, keys: list[str], truth: str, predicted: str) -> DataFrame:
+    """(keys, pairs, accuracy): how many pairs a key's rows make, and the share of the pairs of rows with both values that these order alike.
+
+    Pairs are counted, never made; keys with fewer than two rows have none. accuracy is null if no two rows have both values.
+    """
+    pairs = rows.groupBy(*keys).agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    alike = concordant(rows, keys, truth, predicted)
+    share = F.try_divide(F.col("concordant"), F.col("n") * (F.col("n") - 1) / 2)
+    return pairs.join(alike, keys, "left").select(*keys, "pairs", share.alias("accuracy"))
 
 
 def masked_moments(rows: DataFrame, value: str, mask: Column) -> DataFrame:

@@ -108,7 +108,7 @@ def g42_welch_test(spark, sf_dir):
 FROM (SELECT *, o_orderkey % 97 AS x FROM orders) a JOIN (SELECT *, o_orderkey % 97 AS x FROM orders) b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey GROUP BY a.o_custkey""")
 def g44_j10_ranking_accuracy(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("problem_id"), "o_orderkey", F.col("o_totalprice").cast("double").alias("truth"), (F.col("o_orderkey") % 97).alias("predicted"))
-    return rounded(M.ranking_accuracy(rows, ["problem_id"], "o_orderkey", "truth", "predicted"), "accuracy")
+    return rounded(M.ranking_accuracy(rows, ["problem_id"], "truth", "predicted"), "accuracy")
 
 
 @query(f"WITH {TOKENS} SELECT round(avg(s), 4) AS mean FROM (SELECT sum(nlp) AS s FROM tok GROUP BY response_id)")
