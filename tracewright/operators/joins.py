@@ -46,6 +46,30 @@ def splice_candidates(left: DataFrame, right: DataFrame, key: str, longest: int)
     return left.join(right, key).where(F.col("prefix_length") + F.col("suffix_length") <= longest)
 
 
+def best_fitting(left: DataFrame, right: DataFrame, key: str, longest: int, score: str, blocks: int = 256) -> DataFrame:
+    """(key, j, i, score): for each prefix (key, j, prefix_length) the suffix (key, i, suffix_length, score) of best score that fits with it.
+
+    Ties go to the smaller i; prefixes that nothing fits are left out. Suffixes by length and prefixes by the room they
+    leave lie on one line from 0 to longest, so the best up to a place is a running maximum: in windows of one of blocks
+    stretches of a key's line, with the best of the stretches before. No pair but the one wanted is made.
+    """
+    none = F.lit(None)
+    best = F.struct(F.col(score).cast("double").alias("score"), (-F.col("i").cast("long")).alias("less"))
+    kind = "struct<score: double, less: bigint>"
+    suffixes = right.select(F.col(key), none.cast("long").alias("j"), F.col("suffix_length").cast("double").alias("_at"), F.lit(0).alias("_order"), best.cast(kind).alias("_best"))
+    prefixes = left.select(F.col(key), F.col("j").cast("long").alias("j"), (F.lit(longest) - F.col("prefix_length")).cast("double").alias("_at"), F.lit(1).alias("_order"), none.cast(kind).alias("_best"))
+    line = suffixes.unionByName(prefixes).where(F.col("_at").between(0, longest)).withColumn("_block", F.floor(F.col("_at") * blocks / (longest + 1)))
+    inside = F.max("_best").over(W.partitionBy(key, "_block").orderBy("_at", "_order").rowsBetween(W.unboundedPreceding, 0))
+    tops = line.where("_order = 0").groupBy(key, "_block").agg(F.max("_best").alias("_top"))
+    # at most blocks rows a key: the best of all blocks before each that holds a prefix
+    wanted = line.where("_order = 1").select(key, "_block").distinct().join(tops, [key, "_block"], "full")
+    earlier = F.max("_top").over(W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    before = wanted.select(key, "_block", earlier.alias("_before"))
+    found = line.withColumn("_inside", inside).where("_order = 1").join(before, [key, "_block"])
+    top = F.greatest("_inside", "_before")
+    return found.select(key, "j", (-top["less"]).alias("i"), top["score"].alias("score")).where("i is not null")
+
+
 def first_containing(texts: DataFrame, text: str, items: DataFrame, item_id: str, item: str, max_items: int = 50_000) -> DataFrame:
     """(text id columns, item_id) of the first item contained in each text.
 

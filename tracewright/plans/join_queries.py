@@ -142,3 +142,15 @@ def u5_remaining_pool(spark, sf_dir):
 def p14_hard_questions(spark, sf_dir):
     r = rollouts(spark, sf_dir).groupBy("problem_id").agg((~F.bool_or(F.col("score") >= 1.0)).alias("hard"))
     return r.where("hard")
+
+
+@query(f"""WITH {TOKENS}, l AS (SELECT response_id, pos, round(sum(entropy) OVER (PARTITION BY response_id ORDER BY pos), 6) AS a, round(sum(entropy) OVER (PARTITION BY response_id ORDER BY pos DESC), 6) AS b, CAST(pos * 7 % 13 AS DOUBLE) AS s FROM tok)
+SELECT response_id, j, i, score FROM (SELECT x.response_id, CAST(x.pos AS BIGINT) AS j, CAST(y.pos AS BIGINT) AS i, y.s AS score, row_number() OVER (PARTITION BY x.response_id, x.pos ORDER BY y.s DESC, y.pos) AS r FROM l x JOIN l y USING (response_id) WHERE y.b <= 300 - x.a) WHERE r = 1""")
+def j11_o3_best_fitting_splices(spark, sf_dir):
+    """For each prefix of a response the best suffix that fits, without their grid."""
+    from pyspark.sql import Window as W
+
+    t, w = tokens(spark, sf_dir), W.partitionBy("response_id")
+    left = t.select("response_id", F.col("pos").alias("j"), F.round(F.sum("entropy").over(w.orderBy("pos")), 6).alias("prefix_length"))
+    right = t.select("response_id", F.col("pos").alias("i"), F.round(F.sum("entropy").over(w.orderBy(F.desc("pos"))), 6).alias("suffix_length"), (F.col("pos") * 7 % 13).alias("score"))
+    return J.best_fitting(left, right, "response_id", 300, "score")

@@ -54,3 +54,16 @@ def s16_debug_episodes(spark, sf_dir):
     each = (customers.agg(F.max("c_custkey")).first()[0] or 0) // 8 + 1
     e = custom.register(spark).read.format("debug_episodes").options(partitions=8, episodesPerPartition=each, questions=50).load()
     return customers.join(e, e.episode_id == F.col("c_custkey")).select("c_custkey", "question_id", F.size("query").alias("n_query"), F.size("response").alias("n_response"), "reward")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'customers_AUTOMOBILE_BUILDING' ELSE 'customers' END AS name FROM customer""")
+def k10_named_outputs(spark, sf_dir):
+    """Rows of some levels and the others, each in a folder named by its levels, and the names read back from the paths."""
+    folder = writers.scratch(spark, "named")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    levels = {"BUILDING", "AUTOMOBILE"}
+    some = F.col("c_mktsegment").isin(*levels)
+    for rows, chosen in ((c.where(some), levels), (c.where(~some), set())):
+        rows.select("c_custkey").write.parquet(f"{folder}/{writers.output_name('customers', chosen)}")
+    back = spark.read.schema("c_custkey long").option("recursiveFileLookup", True).parquet(folder)
+    return back.select("c_custkey", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("name"))

@@ -66,3 +66,11 @@ SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n, round(sum(value), 4)
 def e2_session_windows(spark, sf_dir):
     out = E.sessions(table(spark, sf_dir, "events"), "30 minutes", ["user_id"], "value")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT o_custkey % 200 AS question_id, o_orderkey AS edge_id, CAST(o_orderkey % 20 AS INTEGER) AS iteration FROM orders)
+SELECT question_id, edge_id, iteration FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY md5('0:' || edge_id), edge_id) AS r FROM e WHERE 19 - iteration < 8) WHERE r <= 32""")
+def o5_capped_edges(spark, sf_dir):
+    """The buffer's own bounds: eight iterations, 32 edges a question."""
+    e = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("question_id"), F.col("o_orderkey").alias("edge_id"), (F.col("o_orderkey") % 20).cast("int").alias("iteration"))
+    return S.replay(e.where("iteration < 19"), e.where("iteration = 19"), 19)

@@ -139,7 +139,15 @@ def t34_answer_extractors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.only_choice(said).alias("choice"), X.after_prefix(x, "Solution:", reason, "<end>").alias("rest"))
 
 
-@query()
+_GAP = "[ \\t\\n\\x0B\\f\\r]"
+_FLAG = f"""CASE WHEN contains(t, chr(10) || chr(10)) THEN CASE WHEN regexp_matches(t, '[.?!]{_GAP}*$') THEN 'y' ELSE 'x' END WHEN NOT regexp_matches(t, '[^ \\t\\n\\x0B\\f\\r]') THEN 'w' WHEN regexp_matches(t, '[.?!]{_GAP}*$') THEN 'e' ELSE 'v' END"""
+#: A span over a letter a token: e ends a sentence, w is blank, x and y hold a blank line (y ends a sentence too), v is any other.
+_SPAN = "[ey](w|[exy]|v[vw]*[exy])|[vwx][vw]*[exy]"
+
+
+@query(f"""WITH p AS (SELECT doc_id, string_split(text, ' ') AS p FROM documents), k AS (SELECT doc_id, list_transform(generate_series(1, len(p)), lambda i: CASE WHEN i < len(p) THEN p[i] || ' ' ELSE p[i] END) AS toks FROM p),
+f AS (SELECT doc_id, array_to_string(list_transform(toks, lambda t: {_FLAG}), '') AS f FROM k), s AS (SELECT doc_id, length(f) AS n, regexp_extract_all(f, '{_SPAN}') AS s, length(array_to_string(regexp_extract_all(f[:40], '{_SPAN}'), '')) AS at40 FROM f)
+SELECT doc_id, CAST(len(s) + CASE WHEN length(array_to_string(s, '')) < n THEN 1 ELSE 0 END + CASE WHEN n > 40 AND at40 < 40 THEN 1 ELSE 0 END AS INTEGER) AS n_spans, true AS whole FROM s""")
 def t35_sentence_spans(spark, sf_dir):
     tokens = F.split("text", "(?<= )")
     spans = X.sentence_spans(tokens, F.lit(40))
