@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import let
+
 
 def _group():
     return W.partitionBy("group_id")
@@ -87,16 +89,36 @@ def token_weights(tokens: DataFrame, beta: float = 1.0, eps: float = 1e-8) -> Da
     return tokens.withColumn("weight", w / F.greatest(F.sum(w).over(_response()), F.lit(eps)))
 
 
+#: Numbers that one fold takes: each of its steps copies what it has so far.
+SCAN_BLOCK = 128
+
+
+def decayed_sums(values: Column, decay: float) -> Column:
+    """out[i] = values[i] + decay * out[i - 1] of an array: folds over blocks, and each block shifted by what the ones before leave it."""
+    empty = "cast(array() as array<double>)"
+    state = lambda last, out: F.struct(last.alias("last"), out.alias("out"))
+
+    def scan(v: Column) -> Column:
+        step = lambda s, d: state(d + decay * s["last"], F.concat(s["out"], F.array(d + decay * s["last"])))
+        return F.aggregate(v, state(F.lit(0.0), F.expr(empty)), step, lambda s: s["out"])
+
+    def carried(blocks: Column) -> Column:
+        """What the blocks before leave each block."""
+        step = lambda s, y: state(F.element_at(y, -1) + F.pow(F.lit(decay), F.size(y)) * s["last"], F.concat(s["out"], F.array(s["last"])))
+        return F.aggregate(blocks, state(F.lit(0.0), F.expr(empty)), step, lambda s: s["out"])
+
+    def shifted(blocks: Column) -> Column:
+        whole = F.zip_with(blocks, carried(blocks), lambda y, before: F.transform(y, lambda x, i: x + F.pow(F.lit(decay), i + 1) * before))
+        return F.flatten(whole)
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(SCAN_BLOCK)), lambda k: scan(F.slice(v, k + 1, F.lit(SCAN_BLOCK))))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), shifted)).otherwise(v))
+
+
 def generalised(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 0.95) -> Column:
-    """Generalised advantage estimates of arrays, by one backward fold."""
-    deltas = F.transform(rewards, lambda r, i: r + gamma * F.coalesce(F.get(values, i + 1), F.lit(0.0)) - F.get(values, i))
-    fold = F.aggregate(
-        F.reverse(deltas),
-        F.struct(F.lit(0.0).alias("last"), F.expr("cast(array() as array<double>)").alias("out")),
-        lambda s, d: F.struct((d + gamma * lam * s["last"]).alias("last"), F.concat(s["out"], F.array(d + gamma * lam * s["last"])).alias("out")),
-        lambda s: s["out"],
-    )
-    return F.reverse(fold)
+    """Generalised advantage estimates of arrays, by one backward scan."""
+    deltas = F.transform(rewards, lambda r, i: (r + gamma * F.coalesce(F.get(values, i + 1), F.lit(0.0)) - F.get(values, i)).cast("double"))
+    return F.reverse(decayed_sums(F.reverse(deltas), gamma * lam))
 
 
 def returns(rewards: Column, gamma: float = 1.0) -> Column:
