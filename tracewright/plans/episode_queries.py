@@ -354,7 +354,15 @@ def m16_o11_state_confluence(spark, sf_dir):
     return rounded(D.state_confluence(s, 8), "confluence")
 
 
-@query()
+_SQUARED = "a * a + b * b + c * c AS a, a * b + b * d + c * e AS b, a * c + b * e + c * f AS c, b * b + d * d + e * e AS d, b * c + d * e + e * f AS e, c * c + e * e + f * f AS f"
+
+
+@query(f"""WITH RECURSIVE {TOKENS}, h AS (SELECT response_id, pos, pos // 20 AS qp, pos // 20 % 2 AS kp, entropy / 500 AS x, nlp / 10 AS y, (pos % 3) / 3.0::DOUBLE AS z FROM tok),
+m AS (SELECT response_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM h GROUP BY ALL), o AS (SELECT h.*, mx, my, mz, x - mx AS u, y - my AS v, z - mz AS w FROM h JOIN m USING (response_id)),
+it AS (SELECT response_id, 0 AS k, sum(u * u) AS a, sum(u * v) AS b, sum(u * w) AS c, sum(v * v) AS d, sum(v * w) AS e, sum(w * w) AS f FROM o GROUP BY ALL
+  UNION ALL SELECT response_id, k + 1, a / t, b / t, c / t, d / t, e / t, f / t FROM (SELECT *, CASE WHEN a + d + f > 0 THEN a + d + f ELSE 1 END AS t FROM (SELECT response_id, k, {_SQUARED} FROM it WHERE k < 40))),
+p AS (SELECT * FROM it WHERE k = 40), s AS (SELECT response_id, qp, kp, greatest((a * u + b * v + c * w + b * u + d * v + e * w + c * u + e * v + f * w + mx + my + mz) / 3, 0) AS s FROM o JOIN p USING (response_id))
+SELECT response_id, CAST(qp AS INTEGER) AS q_phase, CAST(kp AS INTEGER) AS k_phase, round(avg(s), 6) AS w FROM s GROUP BY ALL""")
 def m17_denoised_attention(spark, sf_dir):
     t = tokens(spark, sf_dir).select("response_id", "pos", "entropy", "nlp")
     phase = F.floor(F.col("pos") / 20).cast("int")
