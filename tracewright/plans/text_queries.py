@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import puzzles
 from ..functions import steps as S
 from ..functions import text as X
+from ..operators.grading import graded_by
 from .rollouts import table
 
 QUERIES, SQL = {}, {}
@@ -58,7 +59,7 @@ def t1_t4_answer_extraction(spark, sf_dir):
 
 @query(f"""WITH {_GRADED} SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <> 3 THEN 1.0::DOUBLE WHEN l_partkey % 2 = 0 AND k IN (0, 2, 4, 5) THEN 0.1 ELSE 0.0 END AS score FROM g""")
 def t8_t12_graded_answers(spark, sf_dir):
-    return graded(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", X.score(F.col("data_source"), F.col("solution"), F.col("gold")).alias("score"))
+    return graded_by(graded(spark, sf_dir), ["data_source", "solution", "gold"], X.score, "score").select("l_orderkey", "l_linenumber", "l_partkey", "score")
 
 
 @query("SELECT doc_id, substr(sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 1, 16) AS question_id FROM documents")
