@@ -32,11 +32,12 @@ _FORMULAS = (
     r"\[asy\].*?\[/asy\]", r"\$\\begin\{tabular\}.*?\\end\{tabular\}\$", r"\\begin\{tabular\}.*?\\end\{tabular\}", r"\\\(.*?\\\)", r"\\\[.*?\\\]", r"\$\$.*?\$\$",
     r"(?<!\\)\$.*?[^\\]\$(?!\$)", r"\\begin\{([^}]*)\}.*?\\end\{\1\}",
 )
-_SENTENCE_END = r"(?<!(?:^|[^\p{L}\p{N}_])[A-Za-z]\.)(?<!\s[A-Za-z][A-Za-z]\.)(?<=\.)(?=\s+[A-Z])"
+_SENTENCE_END = r"(?=\s)(?<=\.)(?<!(?:^|[^\p{L}\p{N}_])[A-Za-z]\.)(?<!\s[A-Za-z][A-Za-z]\.)(?=\s+[A-Z])"
 _CLOSING = r"(?s)^.*\.(?:\$\$?|\\\)|\\\])$"
 _OPENING = r"^\s*(?:\$|\$\$|\\\(|\\\[|\\begin\{[^}]*\}|\[asy\])\s*$"
-_IN_LANGUAGE = (r"(?<=,)", r"(?<=\sand)(?=\s)", r"(?<=:)", r"(?<=\sto)(?=\s)")
-_IN_FORMULAS = (r"(?<=,\$)", r"(?<=,\\\))", r"(?<=,\\\])", r"(?<==)", r"(?<=\\equiv)", r"(?<=\+)", r"(?<=\\cancelto)")
+# A sign is text that a half ends with; a pattern beside it says more closely where.
+_IN_LANGUAGE = ((",", None), ("and", r"(?<=\sand)(?=\s)"), (":", None), ("to", r"(?<=\sto)(?=\s)"))
+_IN_FORMULAS = ((",$", r"(?<=,\$)"), (",\\)", r"(?<=,\\\))"), (",\\]", r"(?<=,\\\])"), ("=", None), ("\\equiv", r"(?<=\\equiv)"), ("+", None), ("\\cancelto", r"(?<=\\cancelto)"))
 LEAST_IN_LANGUAGE, LEAST_IN_FORMULAS = 40, 20
 
 # A formula, or plain text: what cannot open a formula, else one character. Such cuts lie at no sign that a later pattern looks across.
@@ -50,21 +51,33 @@ def units(x: Column) -> Column:
     return F.transform(found, lambda u: F.struct(u.alias("text"), (u.rlike(r"^[\\$\[]") & (F.length(u) > 1)).alias("formula")))
 
 
-def _cut_units(of: Column, plain: str, first_line: bool = False) -> Column:
-    """Parts (text, formula, cut) of units, cut at matches of plain in plain text; first_line: also where one begins with a line break."""
+def _after(x: Column, sign: str, pattern: str | None) -> Column:
+    """x cut after each sign: by the sign itself, which needs no regular expression, or at matches of a pattern where it has the sign at all."""
+    if pattern is not None:
+        return F.when(x.contains(sign), F.split(x, pattern, -1)).otherwise(F.array(x))
+    pieces = F.split(x, "\\+" if sign == "+" else sign, -1)
+    return let(pieces, lambda p: F.transform(p, lambda t, i: F.when(i < F.size(p) - 1, F.concat(t, F.lit(sign))).otherwise(t)))
+
+
+def _cut_units(of: Column, plain, first_line: bool = False) -> Column:
+    """Parts (text, formula, cut) of units, plain text cut by plain; first_line: also where one begins with a line break."""
 
     def parts(u: Column) -> Column:
         part = lambda t, formula, cut: F.struct(t.alias("text"), formula.alias("formula"), cut.alias("cut"))
         begins = u["text"].startswith("\n") if first_line else F.lit(False)
-        pieces = F.transform(F.split(u["text"], plain, -1), lambda t, i: part(t, F.lit(False), (i > 0) | begins))
+        pieces = F.transform(plain(u["text"]), lambda t, i: part(t, F.lit(False), (i > 0) | begins))
         return F.when(u["formula"], F.array(part(u["text"], F.lit(True), F.lit(False)))).otherwise(pieces)
 
     return F.flatten(F.transform(of, parts))
 
 
+def _sentences_and_lines(x: Column) -> Column:
+    return F.split(x, rf"{_SENTENCE_END}|(?=\n)", -1)
+
+
 def breaks(x: Column) -> Column:
     """How many sentence ends and line breaks lie outside formulas: the cuts of step 1 before any piece is joined."""
-    cut = F.filter(_cut_units(units(x), rf"{_SENTENCE_END}|(?=\n)", first_line=True), lambda p: p["cut"])
+    cut = F.filter(_cut_units(units(x), _sentences_and_lines, first_line=True), lambda p: p["cut"])
     return F.size(cut)
 
 
@@ -109,7 +122,7 @@ def _sentences(x: Column) -> Column:
         ended = F.element_at(p["parts"], -1)["text"].endswith(".") & ~F.element_at(p["parts"], -1)["formula"]
         return (size < SHORT) & ~ended
 
-    parts = _cut_units(units(x), rf"{_SENTENCE_END}|(?=\n)", first_line=True)
+    parts = _cut_units(units(x), _sentences_and_lines, first_line=True)
     return _folded(parts, lambda p: F.when(F.size(p["parts"]) == 0, True).otherwise(onward(p)))
 
 
@@ -151,15 +164,19 @@ def _middle(parts: Column, size, least: int) -> Column:
 
 def _cut_in_language(x: Column) -> Column:
     size = lambda p: F.when(p["formula"], FORMULA).otherwise(F.length(p["text"]))
-    return let(units(x), lambda u: F.coalesce(*[_middle(_cut_units(u, sign), size, LEAST_IN_LANGUAGE) for sign in _IN_LANGUAGE]))
+
+    def cut_by(sign: str, pattern: str | None):
+        return lambda t: _after(t, sign, pattern)
+
+    return let(units(x), lambda u: F.coalesce(*[_middle(_cut_units(u, cut_by(*sign)), size, LEAST_IN_LANGUAGE) for sign in _IN_LANGUAGE]))
 
 
 def _cut_in_formulas(x: Column) -> Column:
-    def halved(sign: str) -> Column:
-        parts = F.transform(F.split(x, sign, -1), lambda t, i: F.struct(t.alias("text"), F.lit(False).alias("formula"), (i > 0).alias("cut")))
+    def halved(sign: str, pattern: str | None) -> Column:
+        parts = F.transform(_after(x, sign, pattern), lambda t, i: F.struct(t.alias("text"), F.lit(False).alias("formula"), (i > 0).alias("cut")))
         return _middle(parts, lambda p: F.length(p["text"]), LEAST_IN_FORMULAS)
 
-    return F.coalesce(*[halved(sign) for sign in _IN_FORMULAS])
+    return F.coalesce(*[halved(*sign) for sign in _IN_FORMULAS])
 
 
 def _halved(x: Column) -> Column:
