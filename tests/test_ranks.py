@@ -37,3 +37,22 @@ def test_dense_ranks(spark):
     for k in range(3):
         values = sorted({v for q, v in rows if q == k})
         assert {r["v"]: r["r"] for r in got if r["k"] == k} == {v: i for i, v in enumerate(values)}
+
+
+def test_indices_shards_and_thinning_like_windows(spark):
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from tracewright.operators import sampling
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), k) for k in rng.sample(range(10_000), 700)] + [("one", 1)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(5)
+    w = W.partitionBy("g").orderBy("v")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(sampling.row_index(df, ["g"], "v"), df.withColumn("idx", (F.row_number().over(w) - 1).cast("long")))
+    for n in (1, 7, 600):
+        assert same(sampling.shards(df, ["g"], "v", n), df.withColumn("shard", F.ntile(n).over(w) - 1))
+    sizes = {g: sorted(v for k, v in rows if k == g) for g in {g for g, _ in rows}}
+    want = {(g, x[i * len(x) // 7]) for g, x in sizes.items() for i in range(7)}
+    assert {tuple(r) for r in sampling.thinned(df, ["g"], "v", 7).collect()} == want

@@ -12,21 +12,27 @@ from ..sources.writers import scratch
 BLOCK = 1 << 16
 
 
-def dense_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, value, name): each different value of a key with its rank from 0, ascending.
+def indexed(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number from 0 in each group of keys, by order; rows that are equal in it follow each other somehow.
 
-    The different values are sorted by range partitions and written; a value's place is that in its partition, plus the
-    counts of the partitions before it, one row each.
+    Rows are sorted by range partitions and written once; a row's place is that in its partition, plus the counts of the
+    partitions before it, one row each, less the first place of its group. A group takes as many tasks as it needs.
     """
-    distinct = rows.select(*keys, value).distinct().repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
     path = scratch(rows.sparkSession, "ranks")
-    distinct.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    ordered.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
     placed = rows.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
     counts = placed.groupBy("_part").count()
     before = F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = placed.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn("_at", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-    return placed.join(first, keys).select(*keys, value, (F.col("_at") - F.col("_first")).alias(name))
+    both = placed.alias("x").join(first.alias("y"), [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys])
+    return both.select(*[F.col(f"x.{c}") for c in rows.columns], (F.col("_at") - F.col("_first")).alias(name))
+
+
+def dense_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, value, name): each different value of a key with its rank from 0, ascending."""
+    return indexed(rows.select(*keys, value).distinct(), keys, [value], name)
 
 
 def _with_ranks(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import indexed
+
 
 def order_key(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string") if isinstance(key, str) else key))
@@ -38,9 +40,19 @@ def portion(rows: DataFrame, key: str, keys: list[str], share: float, seed: int
     return out.where(F.col("_r") <= F.floor(F.col("_n") * share)).select("x.*").drop("_r")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with _i, their number from 0 in their group by order, and _n, the size of the group; no task needs a whole group."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    out = indexed(rows, keys, [order], "_i").alias("x").join(n.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys])
+    return out.select("x.*", "_n")
+
+
 def shards(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """Contiguous shards of each group, the first ones a row larger."""
-    return rows.withColumn("shard", F.ntile(n).over(W.partitionBy(*keys).orderBy(order)) - 1)
+    i, size, more = F.col("_i"), F.floor(F.col("_n") / n), F.col("_n") % n
+    head = more * (size + 1)
+    shard = F.when(i < head, F.floor(i / (size + 1))).otherwise(more + F.floor(F.try_divide(i - head, size)))
+    return numbered(rows, keys, order).withColumn("shard", shard.cast("int")).drop("_i", "_n")
 
 
 def epoch_plan(rows: DataFrame, keys: list[str], key: str, epochs: int, first: int, last: int, seed: int = 42) -> DataFrame:
@@ -55,8 +67,7 @@ def epoch_plan(rows: DataFrame, keys: list[str], key: str, epochs: int, first: i
 
 def thinned(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
     """k rows of each group at the places int(i * n / k)."""
-    w = W.partitionBy(*keys)
-    out = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    out = numbered(rows, keys, order)
     nearest = F.ceil(F.col("_i") * k / F.col("_n"))
     return out.where((F.floor(nearest * F.col("_n") / k) == F.col("_i")) & (nearest < k)).drop("_i", "_n")
 
@@ -72,5 +83,6 @@ def budget_prefix(costs: Column, budget: Column) -> Column:
     )
 
 
-def row_index(keys: list[str], order: str) -> Column:
-    return (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long")
+def row_index(rows: DataFrame, keys: list[str], order: str, name: str = "idx") -> DataFrame:
+    """rows with their number from 0 in each group."""
+    return indexed(rows, keys, [order], name)

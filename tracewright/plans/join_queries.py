@@ -123,7 +123,7 @@ def p35_budget_prefix(spark, sf_dir):
 
 @query("SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx FROM documents")
 def p20_row_index(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", S.row_index(["lang"], "doc_id").alias("idx"))
+    return S.row_index(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], "doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE lower(trim(lang)) IN ('en', 'de') AND contains(lower(source), 'c1')")
