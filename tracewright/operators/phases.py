@@ -94,6 +94,79 @@ def sentences(tokens: DataFrame, is_delimiter: Column, min_length: int = 5) -> D
     return listed.select("group_id", "response_id", _merged(F.col("spans"), min_length).alias("sentences"))
 
 
+def sentence_boundaries(
+    tokens: DataFrame, is_delimiter: Column, signal: str = "entropy", percentile: float = 85.0, min_length: int = 5, most: int = 10, marker: str = "</think>", reserve: bool = True
+) -> DataFrame:
+    """Boundaries at sentences of the thinking part whose first third scores above the percentile.
+
+    The end of thinking is a boundary if it lies inside the response. reserve: its
+    slot is taken first (entropy mode); else the thinking part has most - 1 phases
+    whenever there is a marker (adaptive mode).
+    """
+    ends = think_ends(tokens, marker=marker)
+    span = tokens.groupBy("group_id", "response_id").agg(F.min("pos").cast("int").alias("start"), (F.max("pos") + 1).cast("int").alias("end"))
+    span = span.join(ends, "response_id", "left")
+    inside = F.col("think_end").isNotNull() & (F.col("think_end") > F.col("start"))
+    span = span.withColumn("stop", F.when(inside, F.col("think_end")).otherwise(F.col("end")))
+    thinking = tokens.join(span.select("response_id", "stop"), "response_id").where("pos < stop")
+    each = sentences(thinking, is_delimiter, min_length).select("group_id", "response_id", F.posexplode("sentences").alias("nr", "s")).select("group_id", "response_id", "nr", "s.*")
+    head = F.greatest(F.lit(1), F.floor((F.col("b") - F.col("a")) / 3)).cast("int")
+    each = each.withColumn("head", F.col("a") + head)
+    # every token learns its sentence from the last one that began: a join on positions, not on ranges
+    opens = each.select("response_id", F.col("a").alias("pos"), F.struct("nr", "a", "head").alias("_s"))
+    marked = thinking.join(opens, ["response_id", "pos"], "left").withColumn("_s", F.last("_s", ignorenulls=True).over(_in_order()))
+    heads = marked.where(F.col("pos") < F.col("_s.head"))
+    scored = heads.groupBy("group_id", "response_id", F.col("_s.nr").alias("nr"), F.col("_s.a").alias("a")).agg(F.avg(signal).alias("mean"))
+    limit = F.percentile("mean", F.lit(percentile / 100)).over(W.partitionBy("response_id"))
+    rows = _collected(means.withColumn("limit", limit), F.col("mean") > F.col("limit"), "mean")
+    return rows.select("group_id", "response_id", "start", "end", spaced_top(F.col("candidates"), F.col("start"), min_gap, most).alias("boundaries"))
+
+
+def threshold_boundaries(tokens: DataFrame, signal: str = "nlp", delta: float = 2.0, min_gap: int = 10) -> DataFrame:
+    """Scan in order: a token above delta, min_gap or more after the last boundary, opens a phase."""
+    rows = _collected(tokens, F.col(signal) > delta, signal)
+    ordered = F.sort_array(F.transform("candidates", lambda c: c["pos"]))
+    found = F.aggregate(ordered, F.array("start"), lambda out, p: F.when(p - F.element_at(out, -1) >= min_gap, F.concat(out, F.array(p))).otherwise(out))
+    return rows.select("group_id", "response_id", "start", "end", found.alias("boundaries"))
+
+
+def peak_boundaries(tokens: DataFrame, signal: str = "nlp", percentile: float = 85.0, min_gap: int = 5, most: int = 10) -> DataFrame:
+    """Interior local maxima above the percentile of the response, greedily by height."""
+    x = F.col(signal)
+    limit = F.percentile(signal, F.lit(percentile / 100)).over(W.partitionBy("response_id"))
+    scored = tokens.withColumns({"before": F.lag(signal).over(_in_order()), "after": F.lead(signal).over(_in_order()), "limit": limit})
+    rows = _collected(scored, (x > F.col("limit")) & (x >= F.col("before")) & (x >= F.col("after")), signal)
+    return rows.select("group_id", "response_id", "start", "end", spaced_top(F.col("candidates"), F.col("start"), min_gap, most).alias("boundaries"))
+
+
+def think_ends(tokens: DataFrame, token: str = "token", marker: str = "</think>") -> DataFrame:
+    """(response_id, think_end): the position after the first marker, if any."""
+    return tokens.where(F.col(token) == marker).groupBy("response_id").agg((F.min("pos") + 1).cast("int").alias("think_end"))
+
+
+def _merged(spans: Column, min_length: int) -> Column:
+    """A span joins the previous one while that began less than min_length before it."""
+    none = F.expr("cast(array() as array<struct<a: int, b: int>>)")
+    return F.aggregate(
+        spans,
+        none,
+        lambda out, s: F.when(
+            (F.size(out) > 0) & (s["a"] - F.element_at(out, -1)["a"] < min_length),
+            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["a"].alias("a"), s["b"].alias("b")))),
+        ).otherwise(F.concat(out, F.array(s))),
+    )
+
+
+def sentences(tokens: DataFrame, is_delimiter: Column, min_length: int = 5) -> DataFrame:
+    """(group_id, response_id, sentences): spans that end with a delimiter token, short ones merged."""
+    marked = tokens.withColumn("delimiter", is_delimiter.cast("int"))
+    sentence = F.coalesce(F.sum("delimiter").over(_in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = marked.withColumn("sentence", sentence).groupBy("group_id", "response_id", "sentence")
+    spans = spans.agg(F.min("pos").cast("int").alias("a"), (F.max("pos") + 1).cast("int").alias("b"))
+    listed = spans.groupBy("group_id", "response_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return listed.select("group_id", "response_id", _merged(F.col("spans"), min_length).alias("sentences"))
+
+
 def sentence_boundaries(
     tokens: DataFrame, is_delimiter: Column, signal: str = "entropy", percentile: float = 85.0, min_length: int = 5, most: int = 10, marker: str = "</think>", reserve: bool = True
 ) -> DataFrame:
