@@ -16,7 +16,8 @@ def sibling_bleu(children: DataFrame, keys: list[str], order: str, text: str) ->
 
     No pair is built. A sibling is a prediction once for each later one and a reference once for each earlier one, so
     lengths and totals are sums weighted by its place. The clipped matches of an n-gram over all pairs are the sum of
-    min(c_i, c_j): with its counts ascending, each counts once for every larger one. Words are split at white space.
+    min(c_i, c_j): with its counts ascending, each counts once for every larger one. Words are split at white space, and
+    n-grams travel as 64-bit hashes: two of one family are taken for one with probability 2^-64.
     """
     w = W.partitionBy(*keys)
     rows = children.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w)).where("n > 1")
@@ -24,8 +25,8 @@ def sibling_bleu(children: DataFrame, keys: list[str], order: str, text: str) ->
     later, size = F.col("n") - 1 - F.col("_i"), F.size("_w")
     possible = [F.sum(F.greatest(size - k + 1, F.lit(0)) * later).alias(f"_p{k}") for k in range(1, ORDERS + 1)]
     sums = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.sum(size * later).alias("_pred"), F.sum(size * F.col("_i")).alias("_ref"), *possible)
-    grams = lambda k: F.transform(F.sequence(F.lit(0), size - k), lambda i: F.struct(F.lit(k).alias("k"), F.array_join(F.slice("_w", i + 1, F.lit(k)), " ").alias("g")))
-    none = F.expr("cast(array() as array<struct<k: int, g: string>>)")
+    grams = lambda k: F.transform(F.sequence(F.lit(0), size - k), lambda i: F.struct(F.lit(k).alias("k"), F.xxhash64(F.slice("_w", i + 1, F.lit(k))).alias("g")))
+    none = F.expr("cast(array() as array<struct<k: int, g: bigint>>)")
     every = rows.select(*keys, "_i", F.explode(F.concat(*[F.when(size >= k, grams(k)).otherwise(none) for k in range(1, ORDERS + 1)])).alias("x"))
     counts = every.groupBy(*keys, "x", "_i").agg(F.count("*").alias("c"))
     rank = F.row_number().over(W.partitionBy(*keys, "x").orderBy("c", "_i"))
