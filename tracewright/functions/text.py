@@ -21,16 +21,15 @@ def let(value: Column, body) -> Column:
 def boxed(x: Column) -> Column:
     """What the last ``\\boxed{`` holds up to its matching brace (or the end), stripped; null without one."""
     tail = F.substring_index(x, "\\boxed{", -1)
-    scan = lambda t: F.aggregate(
-        F.split(t, ""),
-        F.struct(F.lit(1).alias("depth"), F.lit("").alias("out")),
-        lambda s, c: F.struct(
-            F.when(s["depth"] == 0, F.lit(0)).otherwise(s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"),
-            F.when((s["depth"] == 0) | ((s["depth"] == 1) & (c == "}")), s["out"]).otherwise(F.concat(s["out"], c)).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(F.instr(x, "\\boxed{") > 0, strip(scan(tail)))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(-1).alias("at"))
+
+    def step(s: Column, c: Column) -> Column:
+        deeper = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(deeper.alias("depth"), (s["i"] + 1).alias("i"), F.when((s["at"] < 0) & (deeper == 0), s["i"]).otherwise(s["at"]).alias("at"))
+
+    closed = lambda t: F.aggregate(F.split(t, ""), start, step, lambda s: s["at"])
+    scan = lambda t: let(closed(t), lambda at: F.when(at >= 0, F.substr(t, F.lit(1), at)).otherwise(t))
+    return F.when(F.instr(x, "\\boxed{") > 0, strip(let(tail, scan)))
 
 
 def boxed_by_pattern(x: Column) -> Column:

@@ -177,3 +177,18 @@ def t29_t30_solution_pieces(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", pieces.alias("pieces"))
     longest = F.array_max(F.transform("pieces", F.length))
     return d.select("doc_id", F.size("pieces").alias("n_pieces"), longest.alias("longest"), (F.array_join("pieces", "") == F.col("text")).alias("whole"))
+
+
+_STRIPPED = "regexp_replace({}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, translate(text, '{{}}', '') AS p FROM documents)
+SELECT doc_id, md5({_STRIPPED.format("'a{' || p || '}b'")}) AS boxed, replace(regexp_extract_all(text, '-?[0-9,]+\\.?[0-9]*')[-1], ',', '') AS last_number, md5(CASE WHEN doc_id % 2 = 0 OR contains(p, '####') THEN {_STRIPPED.format("string_split(p, '####')[-1]")} END) AS marked FROM d""")
+def t1_t3_t4_answers_in_texts(spark, sf_dir):
+    """Answers in whole documents: in nested braces, the last number, behind a marker."""
+    plain = F.translate("text", "{}", "")
+    d = table(spark, sf_dir, "documents")
+    boxed = F.concat(F.lit("\\boxed{1} so \\boxed{a{"), plain, F.lit("}b} and more}"))
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x #### y ####"), plain)).otherwise(plain)
+    # an answer of a text that holds the marker itself begins after the last one
+    return d.select("doc_id", F.md5(X.boxed(boxed)).alias("boxed"), X.last_number(F.col("text")).alias("last_number"), F.md5(X.after_marker(marked)).alias("marked"))
