@@ -65,3 +65,11 @@ def test_levels_without_a_depth(spark):
     plain = lambda df: sorted(map(str, df.collect()))
     assert plain(trees.paths(nodes, None, ["node_id", "score"])) == plain(trees.paths(nodes, deepest, ["node_id", "score"]))
     assert plain(trees.preorder(nodes)) == plain(trees.preorder(nodes, deepest)) and trees.preorder(nodes).count() == len(rows)
+
+
+def test_folds_send_no_nodes_through_the_driver(spark):
+    rows = spark.range(1).withColumn("tree", F.lit('{"children": [{"score": 1}, {"score": 0}]}'))
+    folded = nested.folded(nested.flattened(rows, "id", "tree"), "id", F.get_json_object("fields", "$.score").cast("double"))
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert folded.where("node = 0").select("value", "value_std").first()[:] == (0.5, 0.5)

@@ -73,7 +73,8 @@ def folded(nodes: DataFrame, key: str, leaf_value: Column) -> DataFrame:
     """nodes with value and value_std: leaves have leaf_value (0 where null), others mean and population deviation of their children's values.
 
     A mean of means is the sum over the leaves of a subtree of value times share, over the node's own share: a difference
-    of running sums in pre-order, so the depth of a tree costs nothing.
+    of running sums in pre-order, so the depth of a tree costs nothing. The joins merge: the size of what Python gives is
+    only guessed, and a guess too low would send every node through the driver.
     """
     leaf = F.when(F.col("n_children") == 0, F.coalesce(leaf_value, F.lit(0.0)))
     w = W.partitionBy(key).orderBy("node")
@@ -81,9 +82,9 @@ def folded(nodes: DataFrame, key: str, leaf_value: Column) -> DataFrame:
     ends = rows.select(key, F.col("node").alias("last"), F.col("_sum").alias("_until"))
     before = F.col("_sum") - F.coalesce(F.col("_leaf") * F.col("share"), F.lit(0.0))
     value = F.coalesce("_leaf", (F.col("_until") - before) / F.col("share"))
-    valued = rows.join(ends, [key, "last"]).withColumn("value", value).select(*nodes.columns, "value")
+    valued = rows.join(ends.hint("merge"), [key, "last"]).withColumn("value", value).select(*nodes.columns, "value")
     spread = valued.where("parent is not null").groupBy(key, F.col("parent").alias("node")).agg(F.stddev_pop("value").alias("_s"))
-    return valued.join(spread, [key, "node"], "left").select(*nodes.columns, "value", F.coalesce("_s", F.lit(0.0)).alias("value_std"))
+    return valued.join(spread.hint("merge"), [key, "node"], "left").select(*nodes.columns, "value", F.coalesce("_s", F.lit(0.0)).alias("value_std"))
 
 
 def ancestors(nodes: DataFrame, key: str) -> DataFrame:
