@@ -115,6 +115,29 @@ def test_quality_rules(spark):
     assert quality.judge(table(spark, clean), labels.where("false")).where("kept").count() == 30
 
 
+def test_quality_rules_use_every_trusted_document(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 60), k -> concat('w', pmod(hash(id, k), 400))))").alias("text"))
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    want = quality.ratios(docs, labels, 10).first()["ratio"]
+    for name in ("MAX_TRUSTED", "MAX_BROADCAST"):
+        monkeypatch.setattr(quality, name, 20, raising=False)
+    monkeypatch.setattr(quality, "MIN_SCORES", 50)
+    assert quality.ratios(docs, labels, 10).first()["ratio"] == want
+    table_ = quality.written(quality.ratios(docs, labels, 10), "ratios")
+    few = quality.least_score(docs, labels, table_, 10)
+    monkeypatch.setattr(quality, "MAX_BROADCAST", 1000)
+    assert quality.least_score(docs, labels, table_, 10) == few
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SKETCH", 100)
+    for n in (1, 2, 7, 20_000):
+        rows = spark.range(n).select(F.rand(5).alias("x"))
+        rows = spark.createDataFrame(rows.collect(), "x double")
+        want = rows.agg(F.count("*"), F.percentile("x", F.lit(0.01)), F.percentile("x", F.lit(0.5))).first()
+        assert quality._percentiles(rows, "x", [0.01, 0.5]) == (want[0], list(want[1:]))
+
+
 def test_quality_rules_reject_no_less_of_a_larger_corpus(spark):
     share = []
     for sf in ("sf0.01", "sf0.1"):

@@ -21,8 +21,10 @@ That takes ``MIN_SCORES`` different scores; with fewer it is -0.15.
 Scale. Counts are partial sums over ``2**bits`` buckets before their shuffle, so
 a task ships at most that many rows. The table of ratios has ``2**bits``
 numbers whatever the corpus, and every row reads it as a scalar. The target is
-counted over at most ``MAX_TRUSTED`` trusted documents, whose ids are broadcast;
-the corpus is counted over all documents. Texts and n-grams never leave a task.
+counted over all trusted documents, the corpus over all documents. Up to
+``MAX_BROADCAST`` trusted ids are broadcast, and texts and n-grams never leave a
+task; with more, documents meet the ids in a shuffle of the texts. The threshold's
+percentiles are exact: bounds from a sketch, then the few scores between them.
 All expressions are Spark's own.
 
 Defined cases: a null or empty text has no words, is base_failed and not kept;
@@ -47,8 +49,10 @@ THRESHOLD = -0.15
 SPREADS, MIN_SCORES = 3, 1000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: At most so many trusted documents are used, those with the smallest hashes of their ids; their ids are broadcast.
-MAX_TRUSTED = 100_000
+#: So many trusted ids are broadcast; more are joined by a shuffle. All are used either way.
+MAX_BROADCAST = 100_000
+#: Accuracy of the sketch that bounds a percentile.
+SKETCH = 10_000
 #: So many different windows that occur twice are sought one by one, more by sorting: the same places either way.
 FEW = 64
 SYMBOLS = "#*$%&|<>"
@@ -113,17 +117,20 @@ def bits_for(docs: DataFrame) -> int:
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
-    ids = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED).withColumn("trusted", F.lit(1))
+    """Every trusted id once, hinted for its join."""
+    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    many = ids.count() > MAX_BROADCAST
+    return ids.withColumn("trusted", F.lit(1)).hint("merge" if many else "broadcast")
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_column("text").alias("words"))
+def _narrow(docs: DataFrame, trusted: DataFrame, how: str) -> DataFrame:
+    """docs joined with the trusted ids, then cut into words: a shuffle moves texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted, "doc_id", how).select("doc_id", "trusted", words_column("text").alias("words"))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row, ``ratio``: log(p_target / p_raw) of each of the 2**bits buckets; all null without trusted text."""
-    counted = _count_by_document_class(_narrow(docs), _trusted(labels), bits)
+    counted = _count_by_document_class(_narrow(docs, _trusted(labels), "left"), bits)
     size = 1 << bits
     every = counted.sparkSession.range(size).withColumnRenamed("id", "bucket").join(counted, "bucket", "left").na.fill(0)
     total = every.agg(F.sum("target").alias("nt"), F.sum("raw").alias("nr"))
@@ -133,9 +140,8 @@ def ratios(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothing: floa
     return each.agg(F.transform(ordered, lambda x: x["ratio"]).alias("ratio"))
 
 
-def _count_by_document_class(narrow: DataFrame, trusted: DataFrame, bits: int) -> DataFrame:
+def _count_by_document_class(marked: DataFrame, bits: int) -> DataFrame:
     """(bucket, target, raw) over all documents."""
-    marked = narrow.join(F.broadcast(trusted), "doc_id", "left")
     grams = marked.select("trusted", F.explode(_n_grams(F.col("words"), bits)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("trusted").alias("target"), F.count("*").alias("raw"))
 
@@ -148,11 +154,33 @@ def _scored(out: DataFrame, table: DataFrame, bits: int) -> DataFrame:
     return out.withColumn("score", score).drop("_grams", "_ratio")
 
 
+def _percentiles(rows: DataFrame, value: str, shares: list[float]) -> tuple[int, list[float]]:
+    """The number of rows and the exact interpolated percentiles of a column without nulls.
+
+    A sketch bounds each; the values within its bounds, some 8 / SKETCH of all, and the number of those below give the place.
+    """
+    n = rows.count()
+    if not n:
+        return 0, []
+    room = 3 / SKETCH + 2 / n
+    sketch = rows.agg(*[F.percentile_approx(value, [max(p - room, 0.0), min(p + room, 1.0)], SKETCH) for p in shares]).first()
+    x = F.col(value)
+    inside = [c for low, high in sketch for c in (F.count_if(x < low), F.sort_array(F.collect_list(F.when(x.between(low, high), x))))]
+    found = rows.agg(*inside).first()
+    out = []
+    for k, p in enumerate(shares):
+        at, (below, near) = p * (n - 1), found[2 * k : 2 * k + 2]
+        low = int(at)
+        a, b = near[low - below], near[min(low + 1, n - 1) - below] if at > low else near[low - below]
+        out.append(a if a == b else (low + 1 - at) * a + (at - low) * b)
+    return n, out
+
+
 def least_score(docs: DataFrame, labels: DataFrame, table: DataFrame, bits: int) -> float:
-    """The threshold by the scores of the trusted documents, copies once; THRESHOLD at least, 0 at most."""
-    rows = _narrow(docs).join(F.broadcast(_trusted(labels)), "doc_id").where(F.size("words") >= MIN_WORDS)
-    scores = _scored(rows, table, bits).select("score").where("score is not null").distinct()
-    n, low, median = scores.agg(F.count("*"), F.percentile("score", F.lit(0.01)), F.percentile("score", F.lit(0.5))).first()
+    """The threshold by the scores of all trusted documents, copies once; THRESHOLD at least, 0 at most."""
+    rows = _narrow(docs, _trusted(labels), "inner").where(F.size("words") >= MIN_WORDS)
+    scores = written(_scored(rows, table, bits).select("score").where("score is not null").distinct(), "scores")
+    n, (low, median) = _percentiles(scores, "score", [0.01, 0.5]) if not scores.isEmpty() else (0, (0.0, 0.0))
     return max(THRESHOLD, min(low - SPREADS * (median - low), 0.0)) if n >= MIN_SCORES else THRESHOLD
 
 
