@@ -261,3 +261,13 @@ def test_credit_by_name(spark):
     assert hybrid[1] > 0 > hybrid[2] and hybrid[2] == hybrid[4]
     with pytest.raises(ValueError):
         assign_credit(t, o, advantage="other")
+
+
+def test_equal_phases_have_equal_entropies(spark):
+    from tracewright.operators import rewards
+
+    values = [0.1, 0.2, 0.3]
+    rows = [(0, 1, k, 0, v) for k, v in enumerate(values)] + [(0, 2, k, 0, v) for k, v in reversed(list(enumerate(values)))] + [(0, 3, 0, 0, None)]
+    phased = spark.createDataFrame(rows, "group_id int, response_id int, pos int, phase_id int, entropy double").coalesce(1)
+    got = {r["response_id"]: r["phase_entropy"] for r in rewards.discounted_entropy(phased, 1.0).collect()}
+    assert got == {1: 0.1 + 0.2 + 0.3, 2: 0.1 + 0.2 + 0.3, 3: None}
