@@ -192,3 +192,21 @@ def test_golden_cache_appends_once(spark, tmp_path):
         add(frame(batches[k]), k)
     # question 2 had three attempts before its right one
     assert read() == [(1, "7"), (4, "9"), (5, "1")]
+
+
+def test_replay_state_goes_by_shard(spark, tmp_path):
+    edges = [(q, 100 * q + k, k % 3) for q in range(60) for k in range(7)]
+    schema = "question_id long, edge_id long, iteration long"
+    for t in range(3):
+        spark.createDataFrame([e for e in edges if e[2] == t], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{t}")
+    spark.createDataFrame([(-1, -1, 9)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/end")
+    got = []
+
+    def keep(df, _):
+        got.extend(tuple(r) for r in df.collect())
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    used = buffers.used_edges(rows, 2, 2, 0, shards=3)
+    q = used.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(280)
+    assert sorted(r for r in got if r[1] >= 0) == sorted(brute_buffer(edges, 8, 2, 2, 0))

@@ -1,8 +1,9 @@
 """Replay buffers and the golden cache as streams.
 
-The on-policy buffer keeps each question's unused edges in list state. Iterations are
+The on-policy buffer keeps the unused edges of each shard of questions in list state: calls
+of the state store and timers go by shard, not by question. Iterations are
 logical time: iteration t, from 0 on, is the event time t + 1 seconds after the epoch, so the watermark
-says when all edges of t are there, and a timer of a question samples then, also in
+says when all edges of t are there, and a timer of a shard samples for all its questions then, also in
 iterations that bring it nothing. What is emitted leaves the state in the same commit, so
 a restart from the checkpoint repeats and loses nothing.
 
@@ -30,6 +31,7 @@ from .sampler import with_state_store
 from .state import _hashed
 
 _EDGES = "question_id long, edge_id long, iteration long"
+_COLUMNS = ["question_id", "edge_id", "iteration"]
 
 
 def _digest(seed: int, edge_id: int) -> str:
@@ -42,11 +44,11 @@ class _OnPolicy(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.edges = handle.getListState("edges", "edge_id long, iteration long")
+        self.edges = handle.getListState("edges", _EDGES)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            self.edges.appendList([(int(e), int(i)) for e, i in zip(batch["edge_id"], batch["iteration"], strict=True)])
+            self.edges.appendList(list(batch[_COLUMNS].itertuples(index=False, name=None)))
             for i in set(batch["iteration"].tolist()):
                 self.handle.registerTimer((int(i) + 1) * 1000)
         return iter(())
@@ -54,29 +56,30 @@ class _OnPolicy(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
         held = [tuple(e) for e in self.edges.get()] if self.edges.exists() else []
-        young = [e for e in held if now - e[1] < self.max_age]
-        used = heapq.nsmallest(self.per_question, (e for e in young if e[1] <= now), key=lambda e: (_digest(self.seed, e[0]), e[0]))
-        gone = set(used)
+        young = [e for e in held if now - e[2] < self.max_age]
+        ready = pd.DataFrame([(*e, _digest(self.seed, e[1])) for e in young if e[2] <= now], columns=[*_COLUMNS, "digest"])
+        used = ready.sort_values(["question_id", "digest", "edge_id"]).groupby("question_id").head(self.per_question)[_COLUMNS]
+        gone = set(used.itertuples(index=False, name=None))
         rest = [e for e in young if e not in gone]
         if rest:
             self.edges.put(rest)
             self.handle.registerTimer((now + 2) * 1000)
         else:
             self.edges.clear()
-        yield pd.DataFrame({"at": [now] * len(used), "question_id": [key[0]] * len(used), "edge_id": [e for e, _ in used], "iteration": [i for _, i in used]})
+        yield used.assign(at=now)[["at", *_COLUMNS]].astype("int64")
 
     def close(self) -> None:
         pass
 
 
-def used_edges(edges: DataFrame, max_age: int = 8, per_question: int = 32, seed: int = 0) -> DataFrame:
+def used_edges(edges: DataFrame, max_age: int = 8, per_question: int = 32, seed: int = 0, shards: int = 256) -> DataFrame:
     """(at, question_id, edge_id, iteration): what each iteration takes from the buffer, of a stream of edges(question_id, edge_id, iteration).
 
     Iterations arrive in order, each in one or more micro-batches; at follows once the watermark has passed it.
     """
-    rows = edges.select(*[F.col(c).cast("long").alias(c) for c in ("question_id", "edge_id", "iteration")])
+    rows = edges.select(*[F.col(c).cast("long").alias(c) for c in _COLUMNS], F.pmod(F.xxhash64(F.col("question_id").cast("long")), F.lit(shards)).alias("shard"))
     rows = rows.withColumn("time", F.timestamp_seconds(F.col("iteration") + 1)).withWatermark("time", "0 seconds")
-    return with_state_store(rows).groupBy("question_id").transformWithStateInPandas(_OnPolicy(max_age, per_question, seed), "at long, question_id long, edge_id long, iteration long", "Append", "EventTime")
+    return with_state_store(rows).groupBy("shard").transformWithStateInPandas(_OnPolicy(max_age, per_question, seed), "at long, question_id long, edge_id long, iteration long", "Append", "EventTime")
 
 
 class _Pool(StatefulProcessor):
