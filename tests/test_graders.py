@@ -141,6 +141,18 @@ def test_sibling_bleu_like_all_pairs(spark):
         assert len(texts) < 2 or abs(got[g] - brute_bleu(texts)) < 1e-9
 
 
+def test_sibling_bleu_by_family_and_by_gram(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(g if g else None, k, rng.choice([None, "", " ".join(rng.choice(["a", "b", "c\u00a0d", "e"]) + rng.choice(["", "\n", "\t "]) for _ in range(rng.randrange(40)))])) for g in range(9) for k in range(g % 5 + 1)]
+    df = spark.createDataFrame(rows, "g int, k int, t string").repartition(3)
+    each = []
+    for limit in (0, 30, diversity.FAMILY):
+        monkeypatch.setattr(diversity, "FAMILY", limit)
+        each.append({r["g"]: (r["n"], r["bleu"]) for r in diversity.sibling_bleu(df, ["g"], "k", "t").collect()})
+    assert each[0].keys() == each[1].keys() == each[2].keys()
+    assert all(x[g] == (n, pytest.approx(b)) for x in each[:2] for g, (n, b) in each[2].items())
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(12, 4))
