@@ -31,6 +31,17 @@ def test_concordant_pairs_like_all_pairs(spark, monkeypatch):
         assert got[k][0] == pairs and (got[k][1] is None) == (accuracy is None) and (accuracy is None or abs(got[k][1] - accuracy) < 1e-12)
 
 
+def test_concordant_pairs_by_array_and_by_bits(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k if k else None, rng.choice([None, rng.randrange(6)]), rng.randrange(9)) for k in range(9) for _ in range(k * 3)] + [(9, None, 1)]
+    df = spark.createDataFrame(rows, "k int, a int, b int").repartition(3)
+    each = []
+    for small in (0, 7, 128):
+        monkeypatch.setattr(ranks, "SMALL", small)
+        each.append(sorted(map(tuple, ranks.concordant(df, ["k"], "a", "b").collect())))
+    assert each[0] == each[1] == each[2] and len(each[0]) > 5
+
+
 def test_dense_ranks(spark):
     rows = [(k % 3, v) for k in range(300) for v in (k * 7 % 50, k)]
     got = ranks.dense_ranks(spark.createDataFrame(rows, "k int, v int").repartition(5), ["k"], "v", "r").collect()

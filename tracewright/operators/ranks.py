@@ -47,15 +47,40 @@ def _with_ranks(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return ranked(rows.join(large, keys, "left_anti")).unionByName(hot.select(*keys, "_a", "_b"))
 
 
+#: Rows of a key whose pairs are counted in one array.
+SMALL = 128
+
+
+def _alike(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, n, concordant) for keys of at most SMALL rows, pair by pair in an array."""
+    listed = rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("_x"))
+    above = lambda v: F.size(F.filter("_x", lambda w: (w["a"] > v["a"]) & (w["b"] > v["b"])))
+    pairs = F.aggregate("_x", F.lit(0), lambda s, v: s + above(v))
+    return listed.select(*keys, F.size("_x").cast("long").alias("n"), pairs.cast("long").alias("concordant"))
+
+
 def concordant(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """(keys, n, concordant): of each key, its rows with both values, and the pairs of them that a and b order alike; equal values order nothing.
 
+    Keys of up to SMALL rows are compared pair by pair in an array, larger ones by the bits of their ranks.
+    """
+    whole = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
+    many = whole.groupBy(*keys).count().where(F.col("count") > SMALL).select(*keys)
+    same = lambda x, y: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in keys]
+    few, rest = (whole.alias("x").join(many.alias("y"), same("x", "y"), how) for how in ("left_anti", "left_semi"))
+    # a join, as the union of two tables by keys counts as dealt by them, while adaptive execution deals each its own way
+    both = _alike(few, keys, a, b).alias("x").join(_by_bits(rest, keys, a, b).alias("y"), same("x", "y"), "full")
+    return both.select(*[F.coalesce(F.col(f"x.{c}"), F.col(f"y.{c}")).alias(c) for c in [*keys, "n", "concordant"]])
+
+
+def _by_bits(whole: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, n, concordant) for keys of any size.
+
     Two different ranks of a differ first at one bit: with the bits above it they name a group, and the row without the
     bit is the lower one. So the pairs of a key are, bit by bit, pairs of a lower and an upper row of one group, and a
     running count of lower rows by the rank of b counts them: n log n rows instead of n squared. Rows are added up by
     group and rank of b first; groups are windows of at most BLOCK ranks, joined by the counts of the blocks before.
     """
-    whole = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     counts = _with_ranks(whole.select(*keys, a, b), keys, a, b).groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_n"))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("n"), F.length(F.bin(F.max("_a"))).alias("_bits"))
     bits = counts.join(sizes.select(*keys, "_bits"), keys).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
@@ -65,7 +90,7 @@ def concordant(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     by_rank = sided.groupBy(*group, "_b").agg(F.sum("_low").alias("_low"), F.sum("_up").alias("_up")).withColumn("_block", F.floor(F.col("_b") / BLOCK))
     earlier = lambda *of: F.coalesce(F.sum("_low").over(W.partitionBy(*of[:-1]).orderBy(of[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = by_rank.groupBy(*group, "_block").agg(F.sum("_low").alias("_low"), F.sum("_up").alias("_up"))
-    across = blocks.withColumn("_pairs", F.col("_up") * earlier(*group, "_block")).groupBy(*keys).agg(F.sum("_pairs").alias("_pairs"))
-    inside = by_rank.withColumn("_pairs", F.col("_up") * earlier(*group, "_block", "_b")).groupBy(*keys).agg(F.sum("_pairs").alias("_pairs"))
-    pairs = across.unionByName(inside).groupBy(*keys).agg(F.sum("_pairs").cast("long").alias("concordant"))
+    across = blocks.withColumn("_pairs", F.col("_up") * earlier(*group, "_block")).groupBy(*keys).agg(F.sum("_pairs").alias("_across"))
+    inside = by_rank.withColumn("_pairs", F.col("_up") * earlier(*group, "_block", "_b")).groupBy(*keys).agg(F.sum("_pairs").alias("_inside"))
+    pairs = across.join(inside, keys).select(*keys, (F.col("_across") + F.col("_inside")).cast("long").alias("concordant"))
     return sizes.select(*keys, "n").join(pairs, keys)
