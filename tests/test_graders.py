@@ -163,6 +163,16 @@ def test_rewards_by_name_grade_different_tuples(spark, tmp_path):
     assert len(rows) == 48 and {r["offline"] for r in rows} == {0.5} and all(r["judged"] == r["l_linenumber"] / 10 for r in rows)
 
 
+def test_boxed_steps_by_closing_braces(spark):
+    cases = {
+        "\\boxed{a{b}c}d}": "a{b}c", "\\boxed{}": "", "\\boxed{{}": "{}", "\\boxed{\U0001d465{é}} }": "\U0001d465{é}", "\\boxed{open {x}": "open {x}", "\\boxed{ 7 } and }": "7", "no box": None, "\\boxed{1} \\boxed{2": "2",
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "x string")
+    assert {r["x"]: r["b"] for r in df.select("x", X.boxed(F.col("x")).alias("b")).collect()} == cases
+    # a step a brace, not a character
+    assert r"\}, -1" in df.select(X.boxed(F.col("x")))._jdf.queryExecution().analyzed().toString()
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(12, 4))

@@ -23,11 +23,13 @@ def boxed(x: Column) -> Column:
     tail = F.substring_index(x, "\\boxed{", -1)
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(-1).alias("at"))
 
-    def step(s: Column, c: Column) -> Column:
-        deeper = s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        return F.struct(deeper.alias("depth"), (s["i"] + 1).alias("i"), F.when((s["at"] < 0) & (deeper == 0), s["i"]).otherwise(s["at"]).alias("at"))
+    def step(s: Column, p: Column) -> Column:
+        """p is what stands before a closing brace: a step a brace, not a character."""
+        end = s["i"] + F.length(p)
+        deeper = s["depth"] + F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit(""))) - 1
+        return F.struct(deeper.alias("depth"), (end + 1).alias("i"), F.when((s["at"] < 0) & (deeper == 0), end).otherwise(s["at"]).alias("at"))
 
-    closed = lambda t: F.aggregate(F.split(t, ""), start, step, lambda s: s["at"])
+    closed = lambda t: F.aggregate(F.split(t, r"\}", -1), start, step, lambda s: s["at"])
     scan = lambda t: let(closed(t), lambda at: F.when(at >= 0, F.substr(t, F.lit(1), at)).otherwise(t))
     return F.when(F.instr(x, "\\boxed{") > 0, strip(let(tail, scan)))
 
