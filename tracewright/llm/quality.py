@@ -20,7 +20,9 @@ That takes ``MIN_SCORES`` different scores; with fewer it is -0.15.
 
 Scale. Counts are partial sums over ``2**bits`` buckets before their shuffle, so
 a task ships at most that many rows. The table of ratios has ``2**bits``
-numbers whatever the corpus, and every row reads it as a scalar. The target is
+numbers whatever the corpus, and every row reads it as a scalar. Texts are read
+twice by ``digest``, which takes the threshold from the numbers that it has written, and
+trusted texts once more by ``judge``, which writes no texts. The target is
 counted over all trusted documents, the corpus over all documents. Up to
 ``MAX_BROADCAST`` trusted ids are broadcast, and texts and n-grams never leave a
 task; with more, documents meet the ids in a shuffle of the texts. The threshold's
@@ -58,13 +60,15 @@ FEW = 64
 SYMBOLS = "#*$%&|<>"
 
 
-def _n_grams(words: Column, bits: int) -> Column:
-    """Buckets of all unigrams and bigrams of an array of words."""
+def _next(words: str | Column) -> Column:
+    """The words after the first."""
+    return F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+
+
+def _buckets(a: Column, b: Column, bits: int) -> tuple[Column, Column]:
+    """Buckets of a word and of the bigram with its successor, null after the last word."""
     width = F.lit((1 << bits) - 1)
-    one = lambda w: F.transform(w, lambda x: F.xxhash64(x).bitwiseAND(width))
-    pair = lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(width))
-    two = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), pair)
-    return let(words, lambda w: F.concat(one(w), F.filter(two(w), lambda b: b.isNotNull())))
+    return F.xxhash64(a).bitwiseAND(width), F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(width))
 
 
 def _covered(places: Column, width: int) -> Column:
@@ -82,10 +86,11 @@ def _repeated(hashes: Column) -> Column:
         by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         run = lambda x: F.filter(x, lambda y, k: (y["h"] == F.get(x, k - 1)["h"]).eqNullSafe(True) | (y["h"] == F.get(x, k + 1)["h"]).eqNullSafe(True))
         many = F.sort_array(F.transform(let(by_hash, run), lambda y: y["i"]))
-        return F.when(F.size(twice) == 0, F.array().cast("array<int>")).when(F.size(twice) <= FEW, few).otherwise(many)
+        return F.when(F.size(twice) <= FEW, few).otherwise(many)
 
     twice = let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, i: h.eqNullSafe(F.get(s, i - 1)))))
-    return let(twice, among)
+    # most texts repeat no window, and a set is cheaper than sorting
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.array().cast("array<int>")).otherwise(let(twice, among))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -142,16 +147,25 @@ def ratios(docs: DataFrame, labels: DataFrame, bits: int = BITS, smoothing: floa
 
 def _count_by_document_class(marked: DataFrame, bits: int) -> DataFrame:
     """(bucket, target, raw) over all documents."""
-    grams = marked.select("trusted", F.explode(_n_grams(F.col("words"), bits)).alias("bucket"))
+    words = marked.withColumn("next", _next("words")).select("trusted", F.inline(F.arrays_zip("words", "next")).alias("a", "b"))
+    grams = words.select("trusted", F.explode(F.array(*_buckets(F.col("a"), F.col("b"), bits))).alias("bucket")).where("bucket is not null")
     return grams.groupBy("bucket").agg(F.count("trusted").alias("target"), F.count("*").alias("raw"))
 
 
 def _scored(out: DataFrame, table: DataFrame, bits: int) -> DataFrame:
     """out(words) with score."""
-    out = out.withColumn("_grams", _n_grams(F.col("words"), bits)).withColumn("_ratio", table.scalar())
-    total = lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get("_ratio", b.cast("int")))
-    score = let(F.col("_grams"), lambda g: F.when(F.size(g) > 0, total(g) / F.size(g)))
-    return out.withColumn("score", score).drop("_grams", "_ratio")
+
+    def mean(words: Column, ratio: Column) -> Column:
+        def both(a: Column, b: Column) -> Column:
+            one, two = (F.get(ratio, bucket.cast("int")) for bucket in _buckets(a, b, bits))
+            return F.when(b.isNull(), one).otherwise(one + two)
+
+        total = F.aggregate(F.zip_with(words, _next(words), both), F.lit(0.0), lambda s, x: s + x)
+        return F.when(F.size(words) > 0, total / (2 * F.size(words) - 1))
+
+    # one mention of each column: the optimiser then puts the table itself in its place and no row gets a copy
+    score = let(F.col("words"), lambda w: let(F.col("_ratio"), lambda r: mean(w, r)))
+    return out.withColumn("_ratio", table.scalar()).withColumn("score", score).drop("_ratio")
 
 
 def _percentiles(rows: DataFrame, value: str, shares: list[float]) -> tuple[int, list[float]]:
@@ -176,22 +190,29 @@ def _percentiles(rows: DataFrame, value: str, shares: list[float]) -> tuple[int,
     return n, out
 
 
-def least_score(docs: DataFrame, labels: DataFrame, table: DataFrame, bits: int) -> float:
-    """The threshold by the scores of all trusted documents, copies once; THRESHOLD at least, 0 at most."""
-    rows = _narrow(docs, _trusted(labels), "inner").where(F.size("words") >= MIN_WORDS)
-    scores = written(_scored(rows, table, bits).select("score").where("score is not null").distinct(), "scores")
+def _least(scores: DataFrame) -> float:
+    """The threshold by a written table of the different scores of trusted documents; THRESHOLD at least, 0 at most."""
     n, (low, median) = _percentiles(scores, "score", [0.01, 0.5]) if not scores.isEmpty() else (0, (0.0, 0.0))
     return max(THRESHOLD, min(low - SPREADS * (median - low), 0.0)) if n >= MIN_SCORES else THRESHOLD
 
 
+def least_score(docs: DataFrame, labels: DataFrame, table: DataFrame, bits: int) -> float:
+    """The threshold by the scores of all trusted documents, copies once."""
+    rows = _narrow(docs, _trusted(labels), "inner").where(F.size("words") >= MIN_WORDS)
+    return _least(written(_scored(rows, table, bits).select("score").where("score is not null").distinct(), "scores"))
+
+
+def _kept(threshold: float) -> Column:
+    return ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
+
+
 def judge(docs: DataFrame, labels: DataFrame, bits: int | None = None, threshold: float | None = None, smoothing: float = SMOOTHING) -> DataFrame:
     """docs with the base counts, base_failed, score and kept; bits and threshold by the corpus where not given."""
     bits = bits_for(docs) if bits is None else bits
     table = written(ratios(docs, labels, bits, smoothing), "ratios")
     threshold = least_score(docs, labels, table, bits) if threshold is None else threshold
     out = _scored(base_rules(docs), table, bits)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
-    return out.withColumn("kept", kept).drop("words")
+    return out.withColumn("kept", _kept(threshold)).drop("words")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -202,5 +223,11 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = judge(docs.select("doc_id", "text"), labels)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    """A row of numbers for each document: written before there is a threshold, which takes its scores from them."""
+    bits = bits_for(docs)
+    table = written(ratios(docs, labels, bits), "ratios")
+    counts = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    measured = written(_scored(base_rules(docs.select("doc_id", "text")), table, bits).select("doc_id", *counts, "score"), "measured")
+    trusted = measured.withColumn("doc_id", F.col("doc_id").cast("long")).join(_trusted(labels), "doc_id").where(F.col("n_words") >= MIN_WORDS)
+    threshold = _least(written(trusted.select("score").where("score is not null").distinct(), "scores"))
+    return measured.select("doc_id", *counts, _kept(threshold).alias("kept"), "score")
