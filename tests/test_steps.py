@@ -115,6 +115,20 @@ def test_pieces_like_the_twin(spark):
         assert g == twin(t), t
 
 
+def test_plain_texts_take_the_short_way_to_the_same_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    bits = ["Thus we get ", "so it is. ", "Now ", "A. ", "\n", ", ", ",", " and ", "\tand\n", ": ", " to ", "to", "=", "+", "😀 ", "the value of the whole thing ", ".", " "]
+    texts = ["", ",", "\n", "\n\nA", "x" * 99 + "," + "x" * 99, "x" * 50 + "," + "x" * 49, "x" * 60 + ",y," + "x" * 60, "x=" * 300]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(400)]
+    monkeypatch.setattr(steps, "units", None)  # before, every text went by its units
+    x = F.col("t")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    short = [r[0] for r in df.orderBy("i").select(steps._plain_pieces(x)).collect()]
+    monkeypatch.undo()
+    long = [r[0] for r in df.orderBy("i").select(steps._pieces_with_formulas(x)).collect()]
+    assert short == long == [twin(t) for t in texts] == run(spark, texts)
+
+
 def test_very_long_texts(spark):
     texts = ["word, and more = " * 4000, "\\(" * 3000, "x" * 60_000, "A b. " * 8000]
     assert ["".join(g) for g in run(spark, texts)] == texts

@@ -16,6 +16,9 @@ flagged parts, so texts are never rewritten:
    formulas first, then inside, again and again until no sign will do.
 
 Null gives null, an empty text no pieces.
+
+A text without a sign that can open a formula takes a shorter way to the same pieces: folds over
+plain strings, no third step, and one-character signs found from the middle outwards.
 """
 
 from __future__ import annotations
@@ -179,7 +182,32 @@ def _cut_in_formulas(x: Column) -> Column:
     return F.coalesce(*[halved(*sign) for sign in _IN_FORMULAS])
 
 
-def _halved(x: Column) -> Column:
+def _beside_middle(x: Column, sign: str, least: int) -> Column:
+    """_middle for a sign of one character in plain text: the last before the middle and the first from there on."""
+    n = F.length(x)
+
+    def best(half: Column) -> Column:
+        before = F.position(F.lit(sign), F.reverse(F.left(x, half - 1)))
+        left, right = F.when(before > 0, half - before), F.nullif(F.position(F.lit(sign), x, half), F.lit(0))
+        near = let(F.struct(left.alias("left"), right.alias("right")), lambda c: F.when(c["right"].isNull() | (n - 2 * c["left"] <= 2 * c["right"] - n), c["left"]).otherwise(c["right"]))
+        return let(near, lambda at: F.when(F.least(at, n - at) >= least, at))
+
+    return let(F.ceil(n / 2).cast("int"), best)
+
+
+def _cut_plain(x: Column, signs, least: int) -> Column:
+    """_cut_in_language or _cut_in_formulas of plain text by those signs that it can hold."""
+
+    def halved(sign: str, pattern: str | None) -> Column:
+        if pattern is None:
+            return _beside_middle(x, sign, least)
+        parts = F.transform(F.split(x, pattern, -1), lambda t, i: F.struct(t.alias("text"), F.lit(False).alias("formula"), (i > 0).alias("cut")))
+        return F.when(x.contains(sign), _middle(parts, lambda p: F.length(p["text"]), least))
+
+    return F.coalesce(*[halved(*sign) for sign in signs])
+
+
+def _halved(x: Column, in_language=_cut_in_language, in_formulas=_cut_in_formulas) -> Column:
     """Step 4 on one piece. After a cut inside a formula, parts that begin within the stretch cut so far are only cut inside formulas."""
     todo = "array<struct<text: string, start: int>>"
     kind = f"struct<done: array<string>, todo: {todo}, low: int, high: int>"
@@ -190,8 +218,8 @@ def _halved(x: Column) -> Column:
         text = first["text"]
         rest = F.slice(s["todo"], F.lit(2), F.size(s["todo"]))
         fenced = (s["low"] <= first["start"]) & (first["start"] < s["high"])
-        spoken = F.when((F.length(text) > LONG) & ~fenced, _cut_in_language(text))
-        inside = F.when(F.length(text) > LONG, _cut_in_formulas(text))
+        spoken = F.when((F.length(text) > LONG) & ~fenced, in_language(text))
+        inside = F.when(F.length(text) > LONG, in_formulas(text))
 
         def with_cuts(c: Column) -> Column:
             at = F.coalesce(c["spoken"], c["inside"])
@@ -206,14 +234,51 @@ def _halved(x: Column) -> Column:
         cuts = let(spoken, lambda a: F.struct(a.alias("spoken"), F.when(a.isNull(), inside).alias("inside")))
         return F.when(F.size(s["todo"]) == 0, s).otherwise(let(cuts, with_cuts))
 
-    # a piece has LEAST_IN_FORMULAS characters or more, and takes a round to make and one to keep
-    rounds = F.sequence(F.lit(0), (F.length(x) / (LEAST_IN_FORMULAS // 2)).cast("int") + 1)
+    # only parts over LONG are cut, into halves of LEAST_IN_FORMULAS or more: so many cuts at most, and each part takes a round
+    cuts = F.greatest(F.ceil((F.length(x) - LONG) / LEAST_IN_FORMULAS).cast("int"), F.lit(0))
+    rounds = F.sequence(F.lit(0), 2 * cuts)
     return F.aggregate(rounds, start, step, lambda s: s["done"])
 
 
+def _long_halved(texts: Column, halved) -> Column:
+    """The texts that are not empty, the long ones halved."""
+    some = F.filter(texts, lambda t: t != "")
+    return let(some, lambda v: F.flatten(F.transform(v, lambda t: F.when(F.length(t) > LONG, halved(t)).otherwise(F.array(t)))))
+
+
+def _pieces_with_formulas(x: Column) -> Column:
+    three = let(let(let(x, _sentences), _after_formulas), _lines_of_formulas)
+    return _long_halved(let(three, lambda p: F.transform(p, lambda v: v["text"])), _halved)
+
+
+def _joined(texts: Column, onward) -> Column:
+    """Texts joined with the next where they must go onward to it."""
+    kind = "struct<done: array<string>, now: string>"
+    start = F.expr(f"cast(named_struct('done', array(), 'now', null) as {kind})")
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now")).cast(kind)
+
+    def step(s: Column, t: Column) -> Column:
+        now = s["now"]
+        return F.when(now.isNull(), state(s["done"], t)).when(onward(now), state(s["done"], F.concat(now, t))).otherwise(state(F.concat(s["done"], F.array(now)), t))
+
+    return F.aggregate(texts, start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+
+
+def _plain_pieces(x: Column) -> Column:
+    """The pieces of a text without formulas: step 2 leaves none below SHORT but a single one, so step 3 joins nothing."""
+    short = lambda t: F.length(t) < SHORT
+
+    def last_joined(p: Column) -> Column:
+        n = F.size(p)
+        both = F.array(F.concat(F.get(p, n - 2), F.get(p, n - 1)))
+        return F.when((n > 1) & short(F.get(p, n - 1)), F.concat(F.slice(p, F.lit(1), n - 2), both)).otherwise(p)
+
+    spoken = lambda t: _cut_plain(t, _IN_LANGUAGE, LEAST_IN_LANGUAGE)
+    inside = lambda t: _cut_plain(t, (("=", None), ("+", None)), LEAST_IN_FORMULAS)
+    sentences = _joined(_sentences_and_lines(x), lambda t: short(t) & ~t.endswith("."))
+    return _long_halved(let(_joined(sentences, short), last_joined), lambda t: _halved(t, spoken, inside))
+
+
 def solution_pieces(x: Column) -> Column:
     """The pieces of a solution, which joined give it back."""
-    three = let(let(let(x, _sentences), _after_formulas), _lines_of_formulas)
-    texts = let(three, lambda p: F.filter(F.transform(p, lambda v: v["text"]), lambda t: t != ""))
-    long = lambda t: F.when(F.length(t) > LONG, _halved(t)).otherwise(F.array(t))
-    return let(texts, lambda v: F.flatten(F.transform(v, long)))
+    return let(x, lambda t: F.when(~t.rlike(r"[$\\\[]"), _plain_pieces(t)).otherwise(_pieces_with_formulas(t)))
