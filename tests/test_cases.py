@@ -98,6 +98,16 @@ def test_forward_substitution(spark):
     assert got == pytest.approx([0.5, 0.25, 1.25])
 
 
+def test_human_count(spark):
+    # the original's examples, every unit's first and last number, millions that its product with 1e-6 rounds down; 1150 as in the SQL
+    want = {
+        0: "0  ", 123: "123  ", 999: "999  ", 1000: "1.0 K", 1234: "1.2 K", 1150: "1.1 K", 100000: "100 K", 999999: "999 K", 10**6: "1.0 M", 2 * 10**6: "2.0 M", 1350000: "1.3 M", 2450000: "2.4 M",
+        1450000: "1.4 M", 10**9 - 1: "999 M", 10**9: "1.0 B", 3 * 10**9: "3.0 B", 10**12 - 1: "999 B", 10**12: "1.0 T", 4 * 10**14: "400 T", 10**15 - 1: "999 T", 5 * 10**15: "5,000 T",
+    }
+    got = spark.createDataFrame([(n,) for n in want], "n bigint").select("n", maths.human_count(F.col("n")).alias("x")).collect()
+    assert {r["n"]: r["x"] for r in got} == want
+
+
 def test_group_advantages(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 0.0), (1, 0.0), (2, 1.0), (3, 0.5), (3, 0.5)], "group_id int, s double")
     s = F.col("s")

@@ -128,10 +128,14 @@ def rewards_to_outcome(influence: Column, last: Column) -> Column:
 
 
 def human_count(x: Column) -> Column:
-    """A count with K, M, B or T: one decimal below 100 of a unit, none above, thousands parted."""
-    digits = F.when(x > 0, F.floor(F.log10(x.cast("double")) + 1e-12) + 1).otherwise(1)
+    """A count with K, M, B or T: one decimal below 100 of a unit, none above, thousands parted.
+
+    From a million on the count is multiplied by 1e-6, 1e-9 or 1e-12 as in the original, where
+    1,350,000 becomes 1.3499999999999999 and so 1.3 M; thousands are divided by 1000.
+    """
+    digits = F.when(x > 0, F.floor(F.log10(x.cast("double"))) + 1).otherwise(1)
     group = F.least(F.ceil(digits / 3), F.lit(5)).cast("int")
     unit = F.element_at(F.array(*map(F.lit, (" ", "K", "M", "B", "T"))), group)
-    scaled = x / F.pow(F.lit(1000.0), group - 1)
+    scaled = F.when(group < 3, x / F.pow(F.lit(1000.0), group - 1)).otherwise(x * F.element_at(F.array(*map(F.lit, (1.0, 1e-3, 1e-6, 1e-9, 1e-12))), group))
     whole = (group == 1) | (scaled >= 100)
     return F.concat_ws(" ", F.when(whole, F.format_number(F.floor(scaled), 0)).otherwise(F.format_number(scaled, 1)), unit)
