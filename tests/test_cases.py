@@ -92,6 +92,13 @@ def test_influence(spark):
     assert all(r["s"] == pytest.approx(1.0) for r in rows)
 
 
+@pytest.mark.parametrize("norm", ["row", "col", "matrix"])
+@pytest.mark.parametrize("w", [0.0, 1e-14, -2.0])
+def test_influence_without_weight_stays_as_it_is(spark, norm, w):
+    att = spark.createDataFrame([(1, 1, 0, w)], "response_id int, q_phase int, k_phase int, w double")
+    assert [r["a"] for r in rewards.influence(att, norm).collect()] == [w]
+
+
 def test_forward_substitution(spark):
     solve = maths.forward_substitution(F.col("a"), F.col("last"), F.col("first"))
     got = value(spark, solve, a=([[0.5, 0.0], [0.3, 0.4]], "array<array<double>>"), last=(1.0, "double"), first=(0.5, "double"))
